@@ -127,3 +127,40 @@ def judge(df: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql_line_verdict(rules: LineRules) -> str:
+    words = "len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'))"
+    count = lambda keep_not: f"length(regexp_replace(l, '{keep_not}', '', 'g'))"
+    phrases = "|".join(BOILERPLATE)
+    return f"""not ({count('[^|>»·•]+')} >= greatest({rules.min_separators}, {words} / {rules.max_words_between + 1})
+        or {count(_SYMBOLS)} > {rules.max_symbol_share} * length(l)
+        or ({count('[^!]+')} > {rules.max_bangs_per_word} * {words} and {words} >= 3)
+        or ({count('[^\\p{Lu}]+')} > {rules.max_upper_share} * {count('[^\\p{L}]+')} and {count('[^\\p{L}]+')} >= 12)
+        or ({words} >= {rules.unended_words} and not regexp_matches(l, '[.!?:;…"”»)\\]]\\s*$'))
+        or ({words} <= {rules.boilerplate_words} and regexp_matches(lower(l), '{phrases}')))"""
+
+
+def op8_sql(rules: LineRules = LineRules()) -> str:
+    return f"""
+with docs as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), triples as (
+    select doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from docs)
+), again as (
+    select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from triples) where n > 1
+), repeats as (
+    select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from again) group by doc_id
+), lines as (
+    select doc_id, l, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) as n from (select doc_id, unnest(string_split(t, chr(10))) as l from docs) where regexp_matches(l, '[^\\x20\\x09-\\x0D]')
+), judged as (
+    select doc_id, count(*) - count(distinct l) as n_dup_lines, sum(n) as n_all, sum(case when {_sql_line_verdict(rules)} then n else 0 end) as n_good from lines group by doc_id
+), base as (
+    select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(t, '{_SYMBOLS}', '', 'g'))::bigint as n_symbols,
+        coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words, n_all, n_good
+    from docs left join repeats using (doc_id) left join judged using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(n_good::double / n_all >= {rules.min_kept_share}, false) as kept
+from base
+"""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import decontaminate, quality_rules, sharding
 
 _QUERIES = [
+    decontaminate.op7_benchmark_leaks,
     quality_rules.op8_line_rules,
     sharding.op9_feistel_shards,
 ]
@@ -15,4 +16,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_benchmark_leaks": decontaminate.OP7_SQL,
+        "op8_line_rules": quality_rules.op8_sql(),
+    }
