@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, sharding
+from . import decontaminate, licences, line_dedup, quality_rules, sharding
 
 _QUERIES = [
+    line_dedup.op2_line_dedup,
+    licences.op4_licence_scan,
     decontaminate.op7_benchmark_leaks,
     quality_rules.op8_line_rules,
     sharding.op9_feistel_shards,
@@ -17,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_licence_scan": licences.op4_sql(),
         "op7_benchmark_leaks": decontaminate.OP7_SQL,
         "op8_line_rules": quality_rules.op8_sql(),
     }
