@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, line_dedup, quality_rules, sharding
+from . import bpe, decontaminate, licences, line_dedup, quality_rules, sharding
 
 _QUERIES = [
     line_dedup.op2_line_dedup,
@@ -10,6 +10,7 @@ _QUERIES = [
     decontaminate.op7_benchmark_leaks,
     quality_rules.op8_line_rules,
     sharding.op9_feistel_shards,
+    bpe.op10_byte_bpe,
 ]
 
 
