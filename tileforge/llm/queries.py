@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licences, line_dedup, quality_rules, sharding
+from . import bpe, decontaminate, licences, line_dedup, quality_model, quality_rules, sharding, token_files
 
 _QUERIES = [
+    quality_model.op1_quality_model,
     line_dedup.op2_line_dedup,
     licences.op4_licence_scan,
+    token_files.op5_token_file,
     decontaminate.op7_benchmark_leaks,
     quality_rules.op8_line_rules,
     sharding.op9_feistel_shards,
