@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licences, line_dedup, quality_model, quality_rules, sharding, token_files
+from . import bpe, decontaminate, licences, line_dedup, quality_model, quality_rules, sharding, token_files, toxicity
 
 _QUERIES = [
     quality_model.op1_quality_model,
     line_dedup.op2_line_dedup,
+    toxicity.op3_toxicity_chain,
     licences.op4_licence_scan,
     token_files.op5_token_file,
     decontaminate.op7_benchmark_leaks,
