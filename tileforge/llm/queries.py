@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licences, line_dedup, quality_model, quality_rules, sharding, token_files, toxicity
+from . import bpe, decontaminate, licences, line_dedup, near_dup, quality_model, quality_rules, sharding, token_files, toxicity
 
 _QUERIES = [
     quality_model.op1_quality_model,
@@ -10,6 +10,7 @@ _QUERIES = [
     toxicity.op3_toxicity_chain,
     licences.op4_licence_scan,
     token_files.op5_token_file,
+    near_dup.op6_near_duplicates,
     decontaminate.op7_benchmark_leaks,
     quality_rules.op8_line_rules,
     sharding.op9_feistel_shards,
