@@ -136,10 +136,15 @@ def decode(encoded: DataFrame, pieces: list[bytes], ids: str = "ids") -> DataFra
     return encoded.withColumn("decoded", RankedMerges.decoder(pieces, ids))
 
 
+def digests(docs: DataFrame, pieces: list[bytes], pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256."""
+    found = decode(encode(docs, pieces, pattern), pieces)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     pieces = load_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    found = decode(encode(table(spark, sf_dir, "documents"), pieces, public_tokenizers.PATTERN), pieces)
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return digests(table(spark, sf_dir, "documents"), pieces, public_tokenizers.PATTERN)

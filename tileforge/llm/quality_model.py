@@ -171,11 +171,22 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    return labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & learnable("__id"))
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    return materialise(docs.select("doc_id", "text").mapInArrow(_statistics, "doc_id long, x array<double>"))
+
+
+def _fit(described: DataFrame, labels: DataFrame, label: str) -> Model:
+    return fit(materialise(described.join(_known(labels, label), F.col("doc_id") == F.col("__id")).select("doc_id", "x", "y")))
+
+
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, held_out and score for each row of docs (doc_id, text), learnt from labels (doc_id, label)."""
-    described = materialise(docs.select("doc_id", "text").mapInArrow(_statistics, "doc_id long, x array<double>"))
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & learnable("__id"))
-    model = fit(materialise(described.join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "x", "y")))
+    described = _described(docs)
+    model = _fit(described, labels, label)
 
     def scored(batches):
         for batch in batches:
@@ -184,6 +195,19 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
     return described.mapInArrow(scored, "doc_id long, score double").select("doc_id", (~learnable()).alias("held_out"), "score")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least `least`; texts stay where they are read."""
+    model = _fit(_described(docs), labels, label)
+
+    def kept(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([statistics(t.as_py()) for t in batch.column("text")])
+                yield batch.filter(pa.array(model.score(x) >= least))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
