@@ -1,0 +1 @@
+"""Nothing here yet: the engine works on tables only. A template may read a streaming query's sink like any table."""
