@@ -13,7 +13,7 @@ of 0.75 or more; linked texts form components, of which one document stays.
 3. In each list every member is paired with one pivot, a random member that
    differs by list. Pairs whose union sketch puts the similarity five standard
    deviations below 0.75 go; the others are verified on full sets.
-4. What is then connected needs no further pairs. Only lists whose members lie
+4. What one round of joining these links puts together needs no further pairs. Only lists whose members lie
    in different components are searched for the pairs that pivots missed:
    short lists pair by pair, long ones in blocks, where a product of two
    incidence matrices gives all intersections of two blocks at once. So a
@@ -132,11 +132,13 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(f"i * {DENOMINATOR} >= (size(s_a) + size(s_b) - i) * {NUMERATOR}").select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, complete: bool = True) -> DataFrame:
     """node, component (its least node) for all nodes of the edges (a, b).
 
     Alternates the large-star and small-star steps, which link a node's
     neighbours to the least of them, until the edges are stars and stay so.
+    Unless complete, one round is made: equal components are connected then,
+    but not all that is connected has equal components.
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -147,6 +149,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")))
         small = edges.join(least, "u").select(F.greatest("v", "m").alias("u2"), F.col("m").alias("v2")).where("u2 <> v2").union(least)
         edges = materialise(small.toDF("u", "v").distinct())
+        if not complete:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -190,7 +194,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     own = materialise(rows.mapInArrow(_sketches, "doc_id long, th long, n long, cls binary, sketch array<bigint>"))
-    classes = materialise(own.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("th").alias("th"), F.min("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = materialise(own.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("f"), F.min("n").alias("n"), F.first("sketch").alias("sketch")).select("cls", "n", "sketch", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("th")))
 
     lists = materialise(_lists(classes))
     pivots = materialise(lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("cls", "v"), "cls")).alias("p"), F.count("*").alias("c")).where("c > 1").select("v", F.col("p.cls").alias("pivot"), "c"))
@@ -206,7 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = lambda pairs: pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     sets = sets_of(members(tried))
     links = materialise(_links(tried, sets))
-    found = materialise(components(links))
+    found = components(links, complete=False)  # the least node has none of its own, so it stands for itself
 
     placed = materialise(lists.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").select("v", "cls", "n", F.coalesce("component", "cls").alias("comp")))
     mixed = materialise(placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("v", "c"))
