@@ -94,13 +94,16 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
 def decontaminate(docs: DataFrame, items: DataFrame, by: str = "documents", window: int = WINDOW) -> DataFrame:
     """docs without contaminated documents, or with the hit words cut out of their texts (by="spans").
 
-    Spaces and punctuation between two removed words go with them.
+    Spaces and punctuation between two removed words go with them. All columns
+    of docs stay as they are, also those named like the ones of find_hits.
     """
+    if by not in ("documents", "spans"):
+        raise ValueError("by must be documents or spans")
+    if own := {c: f"__own_{c}" for c in docs.columns if c in ("n_words", "n_hit", "hits", "item_ids")}:
+        return decontaminate(docs.withColumnsRenamed(own), items, by, window).withColumnsRenamed({b: a for a, b in own.items()})
     found = find_hits(docs, items, window)
     if by == "documents":
         return found.where("n_hit = 0").select(*docs.columns)
-    if by != "spans":
-        raise ValueError("by must be documents or spans")
     pieces = found.withColumn("__pieces", F.expr(f"regexp_extract_all(text, r'[A-Z{_IN_WORD}]+|[^A-Z{_IN_WORD}]+', 0)"))
     pieces = pieces.withColumn("__first", F.expr(f"if(text rlike r'^[A-Z{_IN_WORD}]', 0, 1)"))
     at = "cast((j - __first) div 2 as int)"
