@@ -27,7 +27,7 @@ from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tileforge.errors import EngineError, TransientChunkError
@@ -55,6 +55,7 @@ class Engine:
         self.spark, self.work_dir, self.store, self.transient = spark, work_dir.rstrip("/"), store or Store(), transient
         self.catalog = Catalog(spark)
         self._functions: dict[str, Callable] = {}
+        self._views: dict[int, str] = {}
         self._calculating = threading.Lock()
 
     # ---- registration
@@ -91,6 +92,7 @@ class Engine:
             warnings.warn(f"the run of {label} is paused", stacklevel=2)
             return
         self.store.write("update run set started_at = coalesce(started_at, ?) where run_id = ?", now(), run["run_id"])
+        self._views.pop(run["run_id"], None)  # files may have been replaced by equal ones since
         if run["boundaries_calculated_at"] is None and not self._calculate(run["run_id"]):
             return
         self._schedule(run["run_id"], fuse)
@@ -255,12 +257,20 @@ class Engine:
     def _leaf(self, run: dict, chunk: dict) -> dict:
         return self.store.one("select * from leaf where run_id = ? and leaf_ordinal = ?", run["run_id"], chunk["leaf_ordinal"])
 
+    def _view(self, run: dict) -> str:
+        """A view of the run's table, made once, so that chunks don't list and read its files' footers anew."""
+        if run["run_id"] not in self._views:
+            name = f"tileforge_{run['run_id']}_{uuid.uuid4().hex[:8]}"
+            self._table(run).read(self.spark).createOrReplaceTempView(name)
+            self._views[run["run_id"]] = name
+        return self._views[run["run_id"]]
+
     def _query(self, run: dict, chunk: dict) -> tuple[templates.Statement, str]:
         """The statement and its SQL text for a chunk."""
         table = self._table(run)
         statement = templates.parse(run["sql_text"], table.read(self.spark).columns, run["alias"])
         condition, view = self._chunk(run, chunk)
-        return statement, templates.render(statement.query, view or f"parquet.`{table.path}`", run["alias"], condition)
+        return statement, templates.render(statement.query, view or self._view(run), run["alias"], condition)
 
     def output_path(self, run: dict) -> str:
         return f"{self.work_dir}/run={run['run_id']}"
@@ -273,17 +283,20 @@ class Engine:
             self.spark.sparkContext.setJobGroup(group, f"{run['label']} chunk {number}", interruptOnCancel=True)
             out, attempt = f"{self.output_path(run)}/chunk={number}", f"{self.output_path(run)}/_attempt={number}-{uuid.uuid4().hex}"
             fs, target = file_system(self.spark, out)
-            if not fs.exists(target):
-                statement, sql = self._query(run, chunk)
+            if fs.exists(target):  # published by a driver that stopped before it could complete the chunk
+                written = self.spark.read.parquet(out)
+                rows = written.where("__hit").count() if "__hit" in written.columns else written.count()
+            else:
+                _, sql = self._query(run, chunk)
                 df = self.spark.sql(sql)
                 if "__function" in df.columns:
                     df = self._called(df)
-                df.write.parquet(attempt)
+                seen = Observation()
+                df.observe(seen, F.count(F.when(F.col("__hit"), 1) if "__hit" in df.columns else F.lit(1)).alias("n")).write.parquet(attempt)
                 _, source = file_system(self.spark, attempt)
                 if not fs.rename(source, target):
                     raise EngineError("55000", f"chunk {number} can't be published")
-            written = self.spark.read.parquet(out)
-            rows = written.where("__hit").count() if "__hit" in written.columns else written.count()
+                rows = seen.get["n"]
             self.store.complete(run_id, number, group, rows)
             return rows
         except BaseException:
@@ -315,7 +328,7 @@ class Engine:
             conditions = [self._chunk(run, c)[0] for c in chunks]
             whole = {**chunks[0], "end_id": chunks[-1]["end_id"], "is_final": chunks[-1]["is_final"]}
             number = "case " + " ".join(f"when {c} then {k['boundary_no']}" for c, k in zip(conditions, chunks, strict=True)) + " end"
-            sql = templates.render(re.sub(r"(?i)^\s*select\s", lambda m: f"{m.group()}{number} as __chunk, ", statement.query, count=1), f"parquet.`{table.path}`", run["alias"], self._chunk(run, whole)[0])
+            sql = templates.render(re.sub(r"(?i)^\s*select\s", lambda m: f"{m.group()}{number} as __chunk, ", statement.query, count=1), self._view(run), run["alias"], self._chunk(run, whole)[0])
             attempt = f"{self.output_path(run)}/_attempt={chunks[0]['boundary_no']}-{uuid.uuid4().hex}"
             self.spark.sql(sql).write.partitionBy("__chunk").parquet(attempt)
             fs, _ = file_system(self.spark, attempt)

@@ -6,6 +6,7 @@ import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tileforge.errors import EngineError
 from tileforge.operators.keys import Key
@@ -19,9 +20,12 @@ class Table:
     primary_key: Key | None = None
     ordered_keys: dict[str, Key] = field(default_factory=dict)
     partition_columns: tuple[str, ...] = ()
+    schema: StructType | None = None
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path)
+        """The table as it is now; its schema, once known, isn't looked up in the files again."""
+        reader = spark.read if self.schema is None else spark.read.schema(self.schema)
+        return reader.parquet(self.path)
 
 
 def file_system(spark: SparkSession, path: str):
@@ -51,7 +55,7 @@ class Catalog:
         self._tables: dict[tuple[str, str], Table] = {}
 
     def register(self, table: Table) -> Table:
-        schema = table.read(self.spark).schema
+        schema = table.schema = table.read(self.spark).schema
         if table.primary_key:
             table.primary_key = table.primary_key.resolve(schema)
         table.ordered_keys = {n: Key(k.columns, (), n, k.declared).resolve(schema) for n, k in table.ordered_keys.items()}
