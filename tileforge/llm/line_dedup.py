@@ -94,11 +94,39 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.withColumns({"__doc": F.col("doc_id"), "__text": F.xxhash64("text"), "__lines": F.split(F.coalesce("text", F.lit("")), "\n", -1)})
     joined = keyed.join(gone, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__text") == F.col("__text2")), "left")
     joined = joined.withColumn("__full", F.expr(f"filter(sequence(0, size(__lines) - 1), i -> __lines[i] rlike r'{SPACED_WORD}')"))
-    joined = joined.withColumns({"n_lines": F.size("__full").cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    joined = joined.withColumn("n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.col("n_removed")).cast("long"))
+    joined = joined.withColumns({"n_lines": F.size("__full").cast("long"), "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")})
     kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), transform(__gone, s -> __full[s])), i -> __lines[i]), '\\n')")
     return joined.withColumn("text", F.when(F.col("n_removed") > 0, kept).otherwise(F.col("text"))).drop("__doc", "__text", "__lines", "__doc2", "__text2", "__gone", "__full")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op2_sql(min_words: int = MIN_WORDS) -> str:
+    """Every run of every document, compared by its text."""
+    word = "[^\\x20\\x09-\\x0D]"
+    return f"""
+with raw as (
+    select doc_id, unnest(a) as l, unnest(range(1, len(a) + 1)) as k from (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents)
+), full_lines as (
+    select doc_id, l, k, row_number() over (partition by doc_id order by k) as i, len(regexp_extract_all(l, '{word}+')) as n from raw where regexp_matches(l, '{word}')
+), docs as (
+    select doc_id, list(l order by i) as a, list(n order by i) as w from full_lines group by doc_id
+), runs as (
+    select doc_id, s, e, md5(array_to_string(a[s:e], chr(10))) as h
+    from (select doc_id, a, w, s, unnest(range(s, len(a) + 1)) as e from (select doc_id, a, w, unnest(range(1, len(a) + 1)) as s from docs)) where list_sum(w[s:e]) >= {min_words}
+), firsts as (
+    select h, min(struct_pack(d := doc_id, s := s)) as f from runs group by h
+), gone as (
+    select distinct doc_id, unnest(range(s, e + 1)) as i from runs join firsts using (h) where struct_pack(d := doc_id, s := s) > f
+), counts as (
+    select doc_id, count(*) as n_removed from gone group by doc_id
+), kept as (
+    select doc_id, string_agg(l, chr(10) order by k) as text from raw left join full_lines using (doc_id, l, k) left join gone using (doc_id, i) where gone.i is null group by doc_id
+), sizes as (
+    select doc_id, count(*) as n_lines from full_lines group by doc_id
+)
+select documents.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, case when n_removed > 0 then coalesce(kept.text, '') else documents.text end as text
+from documents left join sizes using (doc_id) left join counts using (doc_id) left join kept using (doc_id)
+"""

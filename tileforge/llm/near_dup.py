@@ -239,3 +239,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, and the closure of their links.
+OP6_SQL = """
+with recursive docs as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), shingles as (
+    select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from docs where len(w) > 0)
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), shared as (
+    select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), links as (
+    select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)
+), edges as (
+    select a, b from links union all select b, a from links
+), reached(doc_id, c) as (
+    select doc_id, doc_id from documents union select edges.b, reached.c from reached join edges on edges.a = reached.doc_id
+), named as (
+    select doc_id, min(c) as component_id from reached group by doc_id
+)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from named left join sizes using (doc_id)
+"""

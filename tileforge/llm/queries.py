@@ -24,6 +24,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": line_dedup.op2_sql(),
+        "op6_near_duplicates": near_dup.OP6_SQL,
         "op4_licence_scan": licences.op4_sql(),
         "op7_benchmark_leaks": decontaminate.OP7_SQL,
         "op8_line_rules": quality_rules.op8_sql(),
