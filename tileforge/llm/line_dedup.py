@@ -23,9 +23,11 @@ How it is found:
    Each maximal repeated run is the union of the shortest runs in it that
    start or end at its lines, so deleting these deletes it whole.
 
-Defined cases: null texts stay null; documents of equal doc_id and text are one document and get
-the same result; of two texts with one doc_id that of the smaller hash is
-earlier; a null doc_id comes first. Other columns of the input pass through.
+Defined cases: null texts stay null; documents of equal doc_id and text are one
+document and get the same result; of two texts with one doc_id that of the
+smaller hash is earlier; a document without a doc_id is left as it is, and no
+copy is deleted on its account. Columns n_lines and n_removed of the input are
+replaced, other columns pass through.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with its text cleaned, and n_lines, n_removed: lines with a word before, and those deleted."""
-    gone = later_copies(docs.select("doc_id", "text").where("doc_id is not null or text is not null"), min_words)
+    gone = later_copies(docs.select("doc_id", "text").where("doc_id is not null"), min_words)
     gone = gone.select(*_DOC, F.explode(F.expr("sequence(start, start + m - 1)")).alias("seq")).distinct()
     gone = gone.groupBy(*_DOC).agg(F.collect_list("seq").alias("__gone")).withColumnsRenamed({"__doc": "__doc2", "__text": "__text2"})
     keyed = docs.withColumns({"__doc": F.col("doc_id"), "__text": F.xxhash64("text"), "__lines": F.split(F.coalesce("text", F.lit("")), "\n", -1)})
