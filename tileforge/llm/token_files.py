@@ -18,8 +18,11 @@ string in a text is ordinary text.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from .common import scratch_dir, table
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
-MEMO_WORDS = 400_000
+#: Of each of two generations; some 200 bytes a word.
+MEMO_WORDS = 300_000
 #: Texts of these characters are split here, as the tokenizer's own pattern does; others are left to the library whole.
 _KNOWN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-ɏ]*")
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
@@ -80,8 +84,21 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as the letters from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+@functools.cache
+def _encoder(path: str) -> _Encoder:
+    """One for each worker process, whose memo serves all its tasks."""
+    return _Encoder(path)
+
+
 class _Encoder:
-    """Ids of texts as little-endian bytes; a bounded memo holds the ids of words."""
+    """Ids of texts; each call looks up its distinct words only, and a bounded memo holds the words' ids."""
 
     def __init__(self, path: str):
         import os
@@ -92,27 +109,49 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.pack = {2: "H", 4: "I"}[self.type.itemsize]
+        self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words: from the memo, the older memo, or the library's model, whose input has a letter for each byte."""
+        if len(self.memo) > MEMO_WORDS:
+            self.older, self.memo = self.memo, {}
+        found = list(map(self.memo.get, words))
+        memo, older, tokenize, letters, pack = self.memo, self.older, self.tokenizer.model.tokenize, self.letters, self.pack
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                ids = older.get(word)
+                if ids is None:
+                    ids = array(pack, [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]).tobytes()
+                found[i] = memo[word] = ids
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        split = [_SPLIT.findall(t) if _KNOWN.fullmatch(t) else None for t in texts]
-        new = list({w for words in split if words for w in words if w not in self.memo})
-        self.memo.update(zip(new, self._library(new), strict=True))
-        whole = iter(self._library([t for t, words in zip(texts, split, strict=True) if words is None]))
-        get = self.memo.__getitem__
-        return [next(whole) if words is None else b"".join(map(get, words)) for words in split]
+        """Little-endian ids of each text."""
+        own = [t if _KNOWN.fullmatch(t) else None for t in texts]
+        split = [_SPLIT.findall(t) if t else [] for t in own]
+        coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+        parts = self._ids(coded.dictionary.to_pylist())
+        flat, size = np.frombuffer(b"".join(parts), self.type), self.type.itemsize
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // size
+        firsts = np.cumsum(lengths) - lengths
+        word = np.asarray(coded.indices)
+        long = lengths[word]
+        ends = np.cumsum(long)
+        raw = flat[np.repeat(firsts[word] - (ends - long), long) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        ends = np.concatenate(([0], ends)) * size
+        cut = ends[np.cumsum([0] + [len(words) for words in split])].tolist()
+        return [raw[i:j] if t is not None else np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, self.type).tobytes() for t, x, i, j in zip(own, texts, cut, cut[1:], strict=False)]
 
 
 def _blocks(path: str, end_id: int, block_ids: int):
     def write(batches):
         from pyspark import TaskContext
 
-        encode, shard, block, start = _Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encode, shard, block, start = _encoder(path), TaskContext.get().partitionId(), 0, 0
         end = np.asarray([end_id], encode.type).tobytes()
         keys: list[int | None] = []
         parts: list[bytes] = []
@@ -128,8 +167,8 @@ def _blocks(path: str, end_id: int, block_ids: int):
             return pa.RecordBatch.from_pylist([row], pa.schema(fields))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128).to_pydict()
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024).to_pydict()
                 for key, ids in zip(some["key"], encode([t or "" for t in some["text"]]), strict=True):
                     keys.append(key)
                     parts.append(ids + end)
