@@ -9,13 +9,13 @@ literal array and concatenates the pieces.
 Words are made distinct in two steps so that no word table is ever broadcast
 and no occurrence of a word is shuffled: documents are dealt into groups by
 doc_id; a group's distinct words go to the global word table, which folds each
-word once; each group gets back its own words with their ids and joins them
-with its texts where they lie. Only texts (once) and distinct words per group
-are shuffled.
+word once; each group gets back its own words with their ids, and Arrow puts
+them in the place of the words of its texts. Only compressed texts (once) and
+distinct words per group are shuffled. Texts are split in Python, as the dealt
+texts are packed there; the folds are Spark's.
 
-The rank map is an array of small maps, indexed by a hash of the piece, since
-a lookup in a Spark map walks its entries. Pieces are written in hexadecimal,
-two digits a byte.
+The rank map is an array of small maps, indexed by a hash of the pair, since a
+lookup in a Spark map walks its entries.
 
 Defined cases: a null text counts as empty, has no ids and decodes to nothing;
 a word is folded in time that grows with the square of its bytes; documents of
@@ -25,42 +25,50 @@ equal doc_id are told apart by text hash, and equal rows get equal results.
 from __future__ import annotations
 
 import base64
+import functools
 import json
+import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-#: White space, and the letters and numbers that Unicode 16 has beyond those of Java 17.
-_SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_NEW_LETTERS = (
-    "870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3 A7D5-A7DC A7F2-A7F4 "
-    "10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 105C0-105F3 10780-10785 10787-107B0 107B2-107BA "
-    "10D4A-10D65 10D6F-10D85 10EC2-10EC4 10F70-10F81 11071-11072 11075 1123F-11240 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11740-11746 "
-    "11AB0-11ABF 11BC0-11BE0 11F02 11F04-11F10 11F12-11F33 12F90-12FF0 1342F 13441-13446 13460-143FA 16100-1611D 16A70-16ABE 16D40-16D6C 18CFF "
-    "1AFF0-1AFF3 1AFF5-1AFFB 1AFFD-1AFFE 1B11F-1B122 1B132 1B155 1DF00-1DF1E 1DF25-1DF2A 1E030-1E06D 1E290-1E2AD 1E4D0-1E4EB 1E5D0-1E5ED 1E5F0 "
-    "1E7E0-1E7E6 1E7E8-1E7EB 1E7ED-1E7EE 1E7F0-1E7FE 2A6DE-2A6DF 2B735-2B739 2EBF0-2EE5D 31350-323AF"
+#: Letters and numbers that newer Unicode versions have beyond Unicode 16, to which the split keeps.
+_NEWER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 "
+    "16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 "
+    "1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
-_NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 11F50-11F59 16130-16139 16AC0-16AC9 16D70-16D79 1CCF0-1CCF9 1D2C0-1D2D3 1E4F0-1E4F9 1E5F1-1E5FA"
+_NEWER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+#: In texts of these characters the classes are short lists, which the standard library matches faster.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-ɏ]*")
+_PLAIN_CLASSES = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"\p{N}": "0-9²³¹¼½¾"}
 
-BUCKETS = 65536
+#: Of the rank map: maps of some six entries each. The spread is a prime.
+BUCKETS, _SPREAD = 32768, 7919
 _NO_RANK = 2147483647
+#: Groups are so many times the size of a shuffle partition: larger ones share more words.
+TASKS_PER_GROUP, LEAST_GROUPS = 3, 12
 
 
-def _class(kind: str, more: str) -> str:
-    """kind or one of the ranges; the outer range keeps common characters from being held against each of them."""
-    ranges = "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in more.split())
-    return rf"{kind}[\x{{800}}-\x{{10FFFF}}&&[{ranges}]]"
-
-
-def java_pattern(pattern: str) -> str:
-    """A split pattern made of |-separated alternatives with \\s, \\S, \\p{L} and \\p{N}, for Java's engine."""
-    letters, numbers = _class(r"\p{L}", _NEW_LETTERS), _class(r"\p{N}", _NEW_NUMBERS)
-    inner = {r"[^\s\p{L}\p{N}]": f"[^{_SPACE}{letters}{numbers}]"}
-    for old, new in (inner | {r"\S": f"[^{_SPACE}]", r"\s": f"[{_SPACE}]", r"\p{L}+": f"[{letters}]+", r"\p{N}+": f"[{numbers}]+"}).items():
-        pattern = pattern.replace(old, new)
-    return pattern
+@functools.cache
+def splitter(pattern: str):
+    """A function from a text to its words, for a pattern with \\p{L}, \\p{N} and \\s."""
+    ranges = lambda more: "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in more.split())
+    plain, full = pattern, pattern
+    for name, members in _PLAIN_CLASSES.items():
+        plain = plain.replace(f"{name}+", f"[{members}]+").replace(name, members)
+    spaces = "\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    letters, numbers = rf"[\p{{L}}--[{ranges(_NEWER_LETTERS)}]]", rf"[\p{{N}}--[{ranges(_NEWER_NUMBERS)}]]"
+    for name, members in ((r"[^\s\p{L}\p{N}]", f"[^[{spaces}]||{letters}||{numbers}]"), (r"\S", f"[^{spaces}]"), (r"\s", f"[{spaces}]"), (r"\p{L}", letters), (r"\p{N}", numbers)):
+        full = full.replace(name, members)
+    plain_find, full_find = re.compile(plain).findall, regex.compile(full, regex.V1).findall
+    return lambda text: plain_find(text) if _PLAIN.fullmatch(text) else full_find(text)
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -73,37 +81,44 @@ def load_ranks(path: str) -> list[bytes]:
 
 
 class RankedMerges:
-    """Column expressions for one vocabulary."""
+    """Column expressions for one vocabulary.
+
+    A piece is known by its id, and the rank of a merge is the id of what it
+    makes, so the rank map leads from two ids to one.
+    """
 
     def __init__(self, spark: SparkSession, pieces: list[bytes]):
-        rows = spark.createDataFrame([(p.hex().upper(), i) for i, p in enumerate(pieces)], "piece string, id int")
+        self.spark, self.pieces = spark, pieces
+        ids = {p: i for i, p in enumerate(pieces)}
         buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for r in rows.select("piece", "id", F.expr(f"pmod(hash(piece), {BUCKETS})").alias("b")).collect():
-            buckets[r["b"]][r["piece"]] = r["id"]
+        for piece, merged in ids.items():
+            for cut in range(1, len(piece)):
+                a, b = ids.get(piece[:cut]), ids.get(piece[cut:])
+                if a is not None and b is not None:
+                    buckets[(a * _SPREAD + b) % BUCKETS][str(a << 32 | b)] = merged
+        # Catalyst turns this into a literal once; text keys, as JSON has no others
         self._map = f"from_json('{json.dumps(buckets, separators=(',', ':'))}', 'array<map<string,int>>')"
+        self._bytes = "array(" + ", ".join(f"{ids[bytes([i])]}L" for i in range(256)) + ")"
 
     def encode_words(self, words: DataFrame, word: str = "word") -> DataFrame:
         """words with ids: array<int>.
 
-        The state of the fold is the array of pieces, the array of the ranks of
-        adjacent pairs, and the place of the leftmost pair of least rank. Odd
-        steps find this place, even steps merge the pair there and look up the
-        two pairs that it changes; no place is left when no pair has a rank.
+        The state of the fold is the array of ids and the least merge, which
+        holds its rank above its place. Odd steps find the merge, even steps
+        carry it out; without one, nothing changes. A word that is a piece
+        itself is that piece.
         """
-        rank = lambda piece: f"coalesce(ranks[pmod(hash({piece}), {BUCKETS})][{piece}], {_NO_RANK})"
-        none = "cast(array() as array<int>)"
-        start = f"named_struct('p', __bytes, 'r', transform(sequence(1, size(__bytes) - 1), i -> {rank('concat(__bytes[i - 1], __bytes[i])')}), 'k', 0L)"
-        end = f"{_NO_RANK} * 4294967296L"
-        find = f"named_struct('p', s.p, 'r', s.r, 'k', coalesce(array_min(transform(s.r, (y, i) -> y * 4294967296L + i)), {end}))"
-        k = "cast(s.k & 4294967295L as int)"
-        piece = f"concat(s.p[{k}], s.p[{k} + 1])"
-        left, right = rank(f"concat(s.p[{k} - 1], {piece})"), rank(f"concat({piece}, s.p[{k} + 2])")
-        ranks = f"concat(slice(s.r, 1, greatest({k} - 1, 0)), if({k} > 0, array({left}), {none}), if({k} + 1 < size(s.r), array({right}), {none}), slice(s.r, {k} + 3, size(s.r)))"
-        merge = f"named_struct('p', concat(slice(s.p, 1, {k}), array({piece}), slice(s.p, {k} + 3, size(s.p))), 'r', {ranks}, 'k', 0L)"
-        folded = f"if(size(__bytes) < 2, __bytes, aggregate(sequence(1, 2 * size(__bytes) - 2), {start}, (s, x) -> if(s.k >= {end}, s, if(x % 2 = 1, {find}, {merge})), s -> s.p))"
-        ids = f"if({rank('__hex')} < {_NO_RANK}, array({rank('__hex')}), transform({folded}, p -> {rank('p')}))"
-        out = words.withColumn("__hex", F.hex(F.col(word).cast("binary"))).withColumn("__bytes", F.expr("regexp_extract_all(__hex, '..', 0)"))
-        return out.withColumn("ids", F.expr(f"transform(array({self._map}), ranks -> {ids})[0]")).drop("__hex", "__bytes")
+        none = f"{_NO_RANK} * 4294967296L"
+        pair = "ranks[cast((a * {0}L + s.p[i + 1]) % {1}L as int)][cast(shiftleft(a, 32) | s.p[i + 1] as string)]".format(_SPREAD, BUCKETS)
+        find = f"named_struct('p', s.p, 'm', array_min(transform(s.p, (a, i) -> if(i + 1 = size(s.p), {none}, shiftleft(coalesce({pair}, {_NO_RANK}L), 32) | i))))"
+        place = "(s.m & 4294967295L)"
+        merge = f"named_struct('p', filter(transform(s.p, (a, i) -> if(i = {place}, shiftright(s.m, 32), if(i = {place} + 1, -1L, a))), a -> a >= 0), 'm', 0L)"
+        step = f"if(s.m >= {none}, s, if(x % 2 = 1, {find}, {merge}))"
+        folded = f"aggregate(sequence(1, greatest(2 * size(__b) - 2, 1)), named_struct('p', __b, 'm', if(size(__b) < 2, {none}, 0L)), (s, x) -> {step}, s -> cast(s.p as array<int>))"
+        own = self.spark.createDataFrame([(p.hex().upper(), i) for i, p in enumerate(self.pieces)], "__piece string, __id int")
+        out = words.withColumn("__hex", F.hex(F.col(word).cast("binary"))).join(F.broadcast(own), F.col("__hex") == F.col("__piece"), "left")
+        out = out.withColumn("__b", F.expr(f"transform(regexp_extract_all(__hex, '..', 0), h -> {self._bytes}[cast(conv(h, 16, 10) as int)])"))
+        return out.withColumn("ids", F.expr(f"if(__id is not null, array(__id), aggregate(array({self._map}), cast(array() as array<int>), (z, ranks) -> {folded}))")).drop("__hex", "__b", "__piece", "__id")
 
     @staticmethod
     def decoder(pieces: list[bytes], ids: str) -> Column:
@@ -112,23 +127,83 @@ class RankedMerges:
         return F.unhex(F.array_join(F.expr(f"transform({ids}, i -> split('{by_id}', ',')[i])"), ""))
 
 
-def words_of(docs: DataFrame, pattern: str, text: str = "text") -> Column:
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-
-
 def encode(docs: DataFrame, pieces: list[bytes], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (key, ids) for each row of docs; keys may be null or repeated."""
     spark = docs.sparkSession
     merges = RankedMerges(spark, pieces)
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")).withColumn("__group", F.expr(f"cast(pmod(xxhash64(__key, __t), {groups}L) as int)")).repartition(groups, "__group")
-    own = materialise(dealt.select("__group", F.explode(words_of(dealt, pattern, "__t")).alias("word")).distinct())
-    table_of_words = materialise(merges.encode_words(own.select("word").distinct().repartition(groups * 2, "word")))
-    known = own.join(table_of_words, "word").repartition(groups, "__group")
-    placed = dealt.withColumn("__row", F.monotonically_increasing_id()).select("__group", "__row", "__key", F.posexplode_outer(words_of(dealt, pattern, "__t")).alias("pos", "word"))
-    joined = placed.join(known.hint("shuffle_hash"), ["__group", "word"], "left")
-    ordered = joined.groupBy("__group", "__row", "__key").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("w"))
-    return ordered.select(F.col("__key").alias(key), F.flatten("w.ids").alias("ids"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(min(parts, LEAST_GROUPS), parts // TASKS_PER_GROUP)
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")).withColumn("__group", F.expr(f"cast(pmod(xxhash64(__key, __t), {groups}L) as int)"))
+    dealt = rows.mapInArrow(_packed, "__group int, packed binary").repartition(groups, "__group")
+    own = dealt.mapInArrow(functools.partial(_group_words, pattern), "__group int, word string")
+    known = merges.encode_words(own.groupBy("word").agg(F.collect_list("__group").alias("groups"))).select(F.explode("groups").alias("__own"), "word", "ids").repartition(groups, "__own")
+    placed = dealt.groupBy("__group").cogroup(known.groupBy("__own")).applyInArrow(functools.partial(_placed, pattern), "__key long, ids array<int>")
+    return placed.withColumnRenamed("__key", key)
+
+
+def _packed(batches):
+    """A batch's texts of one group as one compressed Arrow stream: texts are the bulk of what is shuffled."""
+    for batch in batches:
+        group = batch.column("__group").to_numpy()
+        found = np.unique(group)
+        packed = []
+        for g in found:
+            part = batch.select(["__key", "__t"]).filter(pa.array(group == g))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            packed.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], ["__group", "packed"])
+
+
+def _texts(packed, most: int = 4 << 20):
+    """Keys and texts of packed streams, one stream and at most some millions of characters at a time."""
+    for stream in packed:
+        for part in pa.ipc.open_stream(stream.as_buffer()):
+            keys, texts, size = [], [], 0
+            for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                keys.append(key)
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size > most:
+                    yield keys, texts
+                    keys, texts, size = [], [], 0
+            if keys:
+                yield keys, texts
+
+
+def _group_words(pattern: str, batches):
+    """The distinct words of each group; a group's rows are all in one partition."""
+    split, found = splitter(pattern), {}
+    for batch in batches:
+        for group, packed in zip(batch.column("__group").to_pylist(), batch.column("packed"), strict=True):
+            for _, texts in _texts([packed]):
+                found.setdefault(group, []).append(pc.unique(pa.array([w for t in texts for w in split(t)], pa.string())))
+    for group, parts in found.items():
+        words = pc.unique(pa.concat_arrays(parts))
+        for at in range(0, len(words), 50_000):
+            some = words.slice(at, 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), group, np.int32)), some], ["__group", "word"])
+
+
+def _placed(pattern: str, texts: pa.Table, known: pa.Table) -> pa.Table:
+    """The ids of one group's texts, from the ids of the group's words."""
+    split = splitter(pattern)
+    ids = pa.chunked_array(known["ids"].chunks, pa.list_(pa.int32())).combine_chunks()
+    flat, firsts = ids.values.to_numpy(), ids.offsets.to_numpy()[:-1]
+    lengths, number = np.diff(ids.offsets.to_numpy()), known["word"].combine_chunks()
+    out = []
+    for keys, some in _texts(texts["packed"]):
+        words = [split(t) for t in some]
+        coded = pa.array([w for x in words for w in x], pa.string()).dictionary_encode()
+        word = pc.index_in(coded.dictionary, value_set=number).to_numpy(zero_copy_only=False).astype(np.int32)[coded.indices.to_numpy()]
+        long = lengths[word]
+        ends = np.concatenate(([0], np.cumsum(long, dtype=np.int64)))
+        at = np.repeat(firsts[word] - ends[:-1], long) + np.arange(ends[-1])
+        cuts = ends[np.cumsum([0, *map(len, words)])]
+        del words, coded, word, long
+        out.append(pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat[at], pa.int32()))], ["__key", "ids"]))
+    return pa.Table.from_batches(out, pa.schema([("__key", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
 
 def decode(encoded: DataFrame, pieces: list[bytes], ids: str = "ids") -> DataFrame:
