@@ -159,6 +159,48 @@ def test_licence_scan(spark, odd, empty):
     assert licences.scan(odd, ()).count() == len(ODD)
 
 
+def test_licences_within_longer_text(spark):
+    mit = next(w for i, _, w in licences.WORDINGS if i == "MIT" and w.startswith("Permission"))
+    texts = {
+        "This article may be shared freely by anyone. Released under the MIT License.": ["MIT"],
+        "Copyright (c) 2020 Example Ltd. All rights reserved.": ["ARR"],
+        "MIT License": ["MIT"],
+        f"{words(40)}\n{words(9, 1)} This work is licensed under the GNU General\nPublic License, version 3. {words(60, 2)}\n{words(30, 3)}": ["GPL-3.0"],
+        "# SPDX-License-Identifier: MIT": ["MIT"],
+        "SPDX-License-Identifier: GPL-2.0-only": ["GPL-2.0"],
+        f"Copyright 2020 X\n\n{mit[:200]}\n{mit[200:]}\n{words(500, 4)}": ["MIT"],
+        "Licensed under CC BY-NC-SA 4.0 and nothing else than this, as was said before": ["CC-BY-NC-SA-4.0"],
+        f"{words(300, 5)} released under the licence of the BSD kind {words(20, 6)}": [],
+    }
+    found = by_id(licences.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect())
+    assert {t: sorted({x.id for x in found[i].licences}) for i, t in enumerate(texts)} == texts
+
+
+def test_licence_windows_match_brute_force(spark):
+    draw = random.Random(3)
+    templates = [("A", "x", "a b c d e"), ("B", "y", "c d e f a b"), ("C", "z", "b a")]
+    texts = [" ".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 30))) for _ in range(60)]
+    grams = lambda w: {" ".join(x) for x in zip(w, w[1:])}  # noqa: E731, B905
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    found = by_id(licences.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA), templates).collect())
+    for i, t in enumerate(texts):
+        w = t.split()
+        unit = min((-dice(grams(w), grams(x.split())), k) for k, _, x in templates)
+        unit = unit if -unit[0] >= 0.75 else None
+        windows = []
+        for k, _, x in templates:
+            n = len(x.split())
+            windows += [(-d, -n, s, k) for s in range(len(w) - n + 1) if (d := dice(grams(w[s : s + n]), grams(x.split()))) >= 0.75]
+        taken = []
+        for v in sorted(windows):
+            if unit and (unit[0] <= v[0] or unit[1] == v[3]):
+                continue
+            if all(v[2] >= o[2] - o[1] or o[2] >= v[2] - v[1] for o in taken):
+                taken.append(v)
+        expected = ([(unit[1], -unit[0])] if unit else []) + [(v[3], -v[0]) for v in taken]
+        assert [(x.id, round(x.dice, 9)) for x in found[i].licences] == [(k, round(d, 9)) for k, d in expected], t
+
+
 # ---- 2
 
 

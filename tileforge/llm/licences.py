@@ -1,23 +1,37 @@
 """Operator 4: licence scan by the Dice coefficient over word bigrams.
 
-Every line and every paragraph of several lines is normalised to lower-case
-words and compared to licence templates: Dice = 2 |A and B| / (|A| + |B|) over
-sets of word bigrams. A score of t or more is only possible while |A| lies
-between |B| t / (2 - t) and |B| (2 - t) / t, so templates outside these bounds
-are left out before any bigrams are compared. One pass in the JVM, no shuffle:
-the templates are a literal of bounded size.
-
-Defined cases: null and empty texts have no units and no licences; a unit of
-fewer than two words has no bigrams and matches nothing; of equally good
-templates the smallest id counts; repeated rows get equal results.
+Texts are compared as lower-case words to licence templates: Dice = 2 |A and
+B| / (|A| + |B|) over sets of word bigrams. A score of t or more is only
+possible while |A| lies between |B| t / (2 - t) and |B| (2 - t) / t, and with
+|B| t / (2 - t) bigrams in common. Compared are
+
+1. units: every line and every paragraph of several lines, and
+2. windows: every stretch of as many words as a template has, wherever it lies
+   in the text, so that a notice counts within a line, over line ends and
+   within a paragraph.
+
+Each unit counts with its best template. Of the windows the best is taken
+first (by Dice, length, place, id), then the best that overlaps none taken; a
+window that overlaps a unit's match counts only if its licence is another and
+its score higher.
+
+One pass in the JVM, no shuffle: the templates are a literal of bounded size.
+Texts that have fewer bigrams of a template than any match needs end there.
+
+Defined cases: null and empty texts have no licences; a unit of fewer than two
+words has no bigrams and matches nothing; of equally good templates the
+smallest id counts; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .licence_texts import WORDINGS
 
 THRESHOLD = 0.75
 MAX_TEMPLATES = 1000
@@ -49,34 +63,61 @@ def _bigrams(words: str) -> str:
     return f"array_distinct(transform(sequence(0, size({words}) - 2), i -> concat({words}[i], ' ', {words}[i + 1])))"
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs with licences: array of (id, class, dice, unit), one for each unit with its best template.
+def scan(docs: DataFrame, templates=TEMPLATES + WORDINGS, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """docs with licences: array of (id, class, dice, unit), for each unit that matches and each window taken.
 
-    unit is the text that matched. Columns of docs pass through.
+    unit is the text that matched; of a window, its words. Columns of docs pass through.
     """
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
+    none = "cast(array() as array<struct<id: string, class: string, dice: double, unit: string>>)"
     session = docs.sparkSession
     rows = session.createDataFrame([tuple(t) for t in templates], "id string, class string, wording string")
-    prepared = rows.withColumn("w", F.regexp_extract_all(F.lower("wording"), F.lit(_WORDS), F.lit(0))).where("size(w) > 1").select("id", "class", F.expr(_bigrams("w")).alias("grams")).orderBy("id").collect()
+    prepared = rows.withColumn("w", F.regexp_extract_all(F.lower("wording"), F.lit(_WORDS), F.lit(0))).where("size(w) > 1").select("id", "class", F.size("w").alias("n"), F.expr(_bigrams("w")).alias("grams")).distinct().orderBy("id", "grams").collect()
+    if not prepared:
+        return docs.withColumn("licences", F.expr(none))
     quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    literal = "array(" + ", ".join(f"named_struct('id', {quoted(t['id'])}, 'class', {quoted(t['class'])}, 'grams', array({', '.join(map(quoted, t['grams']))}))" for t in prepared) + ")"
+    strings = lambda values: f"split({quoted('|'.join(values))}, '[|]')"
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least, most = min((len(t["grams"]) for t in prepared), default=1) * low, max((len(t["grams"]) for t in prepared), default=0) * high
-    empty = "cast(array() as array<struct<id: string, class: string, dice: double>>)"
-
-    found = docs.withColumn("__units", F.expr(f"concat(split(coalesce({text}, ''), '\\n', -1), filter(split(coalesce({text}, ''), r'\\n\\s*\\n', -1), p -> contains(trim(BOTH '\\n' FROM p), '\\n')))"))
-    found = found.withColumn("__units", F.expr(f"transform(__units, u -> struct(u as unit, regexp_extract_all(lower(u), r'{_WORDS}', 0) as w))"))
-    found = found.withColumn("__units", F.expr(f"transform(filter(__units, u -> size(u.w) > 1 and size(u.w) - 1 >= {least}), u -> struct(u.unit as unit, {_bigrams('u.w')} as grams))"))
-    score = "2D * size(array_intersect(u.grams, t.grams)) / (size(u.grams) + size(t.grams))"
-    within = f"size(u.grams) between size(t.grams) * {low}D and size(t.grams) * {high}D"
-    scored = f"transform(filter({literal}, t -> {within}), t -> struct(t.id as id, t.class as class, {score} as dice))" if prepared else empty
-    found = found.withColumn("__units", F.expr(f"transform(filter(__units, u -> size(u.grams) <= {most}D), u -> struct(u.unit as unit, filter({scored}, x -> x.dice >= {threshold}D) as hits))"))
-    best = "array_min(transform(u.hits, x -> struct(-x.dice as worse, x.id as id, x.class as class)))"
-    found = found.withColumn("__best", F.expr(f"transform(filter(__units, u -> size(u.hits) > 0), u -> struct(u.unit as unit, {best} as best))"))
-    return found.withColumn("licences", F.expr("transform(__best, u -> struct(u.best.id as id, u.best.class as class, -u.best.worse as dice, u.unit as unit))")).drop("__units", "__best")
+    need = lambda t: max(1, math.ceil(len(t["grams"]) * low - 1e-9))
+    literal = "array(" + ", ".join(f"named_struct('id', {quoted(t['id'])}, 'class', {quoted(t['class'])}, 'n', {t['n']}, 'need', {need(t)}, 'grams', {strings(t['grams'])})" for t in prepared) + ")"
+    every = strings(sorted({g for t in prepared for g in t["grams"]}))
+    words = lambda x: f"regexp_extract_all(lower({x}), r'{_WORDS}', 0)"
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    dice = lambda a, b: f"2D * size(array_intersect({a}, {b})) / (size({a}) + size({b}))"
+    overlap = "{0}.at < {1}.at + {1}.n and {1}.at < {0}.at + {0}.n"
+
+    # Units (unit, w, at): at is the place of the first word among the text's words.
+    def units_of(pattern: str) -> str:
+        ends = "aggregate(__p, cast(array(0) as array<int>), (a, u) -> concat(a, array(element_at(a, -1) + size(u.w))))"
+        return let("__p", f"transform(split({text}, '{pattern}', -1), u -> struct(u as unit, {words('u')} as w))", let("__e", ends, "transform(__p, (u, i) -> struct(u.unit as unit, u.w as w, __e[i] as at))"))
+
+    units = rf"concat({units_of(r'\\n')}, filter({units_of(r'\\n\\s*\\n')}, u -> contains(trim(BOTH '\n' FROM u.unit), '\n')))"
+    units = f"transform(filter({units}, u -> size(u.w) > 1), u -> struct(u.unit as unit, u.at as at, size(u.w) as n, {_bigrams('u.w')} as grams))"
+    scored = f"transform(filter(__t, t -> size(u.grams) between size(t.grams) * {low}D and size(t.grams) * {high}D), t -> struct(-({dice('u.grams', 't.grams')}) as worse, t.id as id, t.class as class))"
+    units = f"filter(transform({units}, u -> struct(u.unit as unit, u.at as at, u.n as n, array_min({scored}) as best)), u -> -u.best.worse >= {threshold}D)"
+
+    # Windows (worse, shorter, at, id, class, n) that hold any `need` successive bigrams of their template, wherever those are in the text.
+    first, last = "greatest(__h[i + t.need - 1] - t.n + 2, 0)", "least(__h[i], size(__w) - t.n)"
+    starts = f"array_distinct(flatten(transform(filter(sequence(0, size(__h) - t.need), i -> {first} <= {last}), i -> sequence({first}, {last}))))"
+    window = f"struct(-({dice('array_distinct(slice(__g, s + 1, t.n - 1))', 't.grams')}) as worse, -t.n as shorter, s as at, t.id as id, t.class as class, t.n as n)"
+    row = "struct<worse: double, shorter: int, at: int, id: string, class: string, n: int>"
+    windows = let("__h", "filter(__hits, p -> array_contains(t.grams, __g[p]))", f"if(size(__h) < t.need, cast(array() as array<{row}>), filter(transform({starts}, s -> {window}), x -> -x.worse >= {threshold}D))")
+    windows = let("__hits", "filter(sequence(0, size(__g) - 1), p -> array_contains(__own, __g[p]))", f"flatten(transform(__t, t -> {windows}))")
+    told = f"exists(__units, u -> {overlap.format('u', 'x')} and (u.best.worse <= x.worse or u.best.id = x.id))"
+    windows = f"aggregate(array_sort(filter({windows}, x -> not {told})), cast(array() as array<{row}>), (a, x) -> if(exists(a, b -> {overlap.format('b', 'x')}), a, concat(a, array(x))))"
+
+    of_units = "transform(__units, u -> struct(u.best.id as id, u.best.class as class, -u.best.worse as dice, u.unit as unit))"
+    of_windows = f"transform({windows}, x -> struct(x.id as id, x.class as class, -x.worse as dice, array_join(slice(__w, x.at + 1, x.n), ' ') as unit))"
+    found = let("__units", units, f"concat({of_units}, {of_windows})")
+
+    # Only texts that share enough bigrams with a template go on to units and windows.
+    found = let("__t", f"filter({literal}, t -> size(__own) >= t.need and size(array_intersect(__own, t.grams)) >= t.need)", f"if(size(__t) = 0, {none}, {found})")
+    found = let("__own", f"array_intersect(__g, {every})", f"if(size(__own) = 0, {none}, {found})")
+    found = let("__g", "transform(sequence(0, size(__w) - 2), i -> concat(__w[i], ' ', __w[i + 1]))", found)
+    return docs.withColumn("licences", F.expr(let("__w", words(f"coalesce({text}, '')"), f"if(size(__w) < 2, {none}, {found})")))
 
 
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
