@@ -332,6 +332,16 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, long_list, block)
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_union_sketch_keeps_what_the_lists_keep(spark):
+    """Of 64 values of the union as many are shared as a list needs, or a few more."""
+    rows = []
+    for shared in range(near_dup.LEAST_SHARED, 34):
+        rows += [(f"{shared}a".encode(), 900, list(range(64))), (f"{shared}b".encode(), 700, list(range(shared)) + list(range(100, 164 - shared)))]
+    classes = spark.createDataFrame(rows, "cls binary, n long, sketch array<bigint>")
+    pairs = spark.createDataFrame([(rows[i][0], rows[i + 1][0]) for i in range(0, len(rows), 2)], "a binary, b binary")
+    assert near_dup._plausible(pairs, classes).count() == pairs.count()
+
+
 def test_near_duplicates_odd_inputs(spark, odd, empty):
     found = near_dup.near_duplicates(odd).collect()
     assert len(found) == len(ODD) and near_dup.near_duplicates(empty).count() == 0

@@ -11,8 +11,8 @@ of 0.75 or more; linked texts form components, of which one document stays.
    a class is listed only under its rarest values, all but c - 1 of them
    (values that no other class retains are rarest and need no list).
 3. In each list every member is paired with one pivot, a random member that
-   differs by list. Pairs whose union sketch puts the similarity five standard
-   deviations below 0.75 go; the others are verified on full sets.
+   differs by list. Pairs whose union sketch puts the similarity six standard
+   deviations below 0.75 go, which never asks for more than step 2 does; the others are verified on full sets.
 4. What one round of joining these links puts together needs no further pairs. Only lists whose members lie
    in different components are searched for the pairs that pivots missed:
    short lists pair by pair, long ones in blocks, where a product of two
@@ -46,6 +46,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Sets up to this size have partners up to K, so their overlaps are known exactly.
 WHOLE = K * NUMERATOR // DENOMINATOR
 LEAST_SHARED = 29
+#: At 64 values six deviations keep pairs that share 28, one less than the lists ask for.
+DEVIATIONS = 6
 LONG_LIST = 64
 BLOCK = 1024
 MEMO_WORDS = 500_000
@@ -122,7 +124,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(_RATIO)
     both = both.withColumn("u", F.expr(f"slice(array_sort(array_union(s_a, s_b)), 1, {K})"))
     share = "size(array_intersect(u, array_intersect(s_a, s_b))) / size(u)"
-    return both.where(f"{share} >= {NUMERATOR / DENOMINATOR} - 5 * 0.4331 / sqrt(size(u))").select("a", "b")
+    return both.where(f"{share} >= {NUMERATOR / DENOMINATOR} - {DEVIATIONS} * 0.4331 / sqrt(size(u))").select("a", "b")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
