@@ -23,9 +23,11 @@ of 0.75 or more; linked texts form components, of which one document stays.
 Sets, lists, links and components stay distributed; the driver sees counts.
 
 Defined cases: a null text, or one without words, has no shingles and is
-linked with nothing; fewer than five words are one shingle; documents of equal
-id are one node; a null id keeps its rows, each alone unless its text is
-linked, and nulls never name a component that has other ids.
+linked with nothing, and stays; fewer than five words are one shingle; rows of
+equal id and different texts are different documents; of rows of equal id and
+text, or without an id, one is a document like any other. The row that stays of
+a component is the first by (doc_id, nulls last, text hash), and nulls never
+name a component that has other ids.
 """
 
 from __future__ import annotations
@@ -194,9 +196,27 @@ def _block_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    return _rows(docs).drop("th")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay; they are told by (doc_id, text hash), also where the id is null."""
+    keys = _rows(docs).groupBy("doc_id", "th").agg(F.max("kept").alias("kept"), F.max(F.col("n_shingles") > 0).alias("linkable"), F.count("*").alias("c"))
+    keys = materialise(keys.where("not kept or (linkable and c > 1)").withColumnsRenamed({"doc_id": "__id", "th": "__key"}))
+    rows = docs.withColumn("__th", F.xxhash64("text"))
+    of = lambda some: [F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__key")), some]
+    gone, repeated = keys.where("not kept"), keys.where("kept")
+    if not repeated.isEmpty():
+        once = rows.join(repeated, *of("left_semi")).dropDuplicates(["doc_id", "__th"])
+        return rows.join(keys, *of("left_anti")).union(once).drop("__th")
+    return rows.join(gone, *of("left_anti")).drop("__th")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, kept: one row of each component is kept, and all rows without shingles."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    own = materialise(rows.mapInArrow(_sketches, "doc_id long, th long, n long, cls binary, sketch array<bigint>"))
-    classes = materialise(own.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("f"), F.min("n").alias("n"), F.first("sketch").alias("sketch")).select("cls", "n", "sketch", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("th")))
+    own = materialise(rows.mapInArrow(_sketches, "doc_id long, th long, n long, cls binary, sketch array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+    classes = materialise(own.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "row")).alias("f"), F.min("n").alias("n"), F.first("sketch").alias("sketch")).select("cls", "n", "sketch", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("th"), F.col("f.row").alias("row")))
 
     lists = materialise(_lists(classes))
     pivots = materialise(lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("cls", "v"), "cls")).alias("p"), F.count("*").alias("c")).where("c > 1").select("v", F.col("p.cls").alias("pivot"), "c"))
@@ -230,13 +250,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialise(links.union(in_blocks))
     found = components(links)
 
-    least_id = classes.select("cls", "first_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least_id = classes.select("cls", "first_id", "th", "row").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least_id = materialise(least_id)
-    names = materialise(least_id.groupBy("component").agg(F.min("first_id").alias("component_id")))
-    named = materialise(least_id.join(names, "component").select("cls", "component_id"))
-    out = own.select("doc_id", "n", "cls").join(named, "cls", "left")
+    names = materialise(least_id.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "th", "row")).alias("f")).select("component", F.col("f.first_id").alias("component_id"), F.col("f.row").alias("first")))
+    named = materialise(least_id.join(names, "component").select("cls", "component_id", "first"))
+    out = own.select("doc_id", "th", "row", "n", "cls").join(named, "cls", "left")
     name = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(F.col("doc_id") == name, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(F.col("doc_id") == name, F.lit(True)).alias("kept"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
