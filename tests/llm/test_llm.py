@@ -349,6 +349,19 @@ def test_near_duplicates_odd_inputs(spark, odd, empty):
     assert names[6] == names[7] == 6 and names[1] == 1 and names[2] == 2 and names[None] is None
 
 
+def test_near_duplicates_go_by_row(spark):
+    """A doc_id with two texts, repeated rows, and copies without an id."""
+    a, b, c, d = (words(80, s, 5000) for s in (60, 61, 62, 63))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c + " x"), (None, d), (None, d), (None, d + " y"), (None, None), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = near_dup.near_duplicates(docs).collect()
+    assert len(found) == len(rows) and sum(r.kept for r in found) == 7
+    left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    last = [t for i, t in left if i is None and t is not None]
+    assert len(last) == 1 and last[0] in (d, d + " y")
+    assert sorted(left, key=str) == sorted([(1, a), (2, b), (3, c), (None, last[0]), (None, None), (None, None), (4, "")], key=str)
+
+
 # ---- 1 and 3
 
 

@@ -256,7 +256,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     named = materialise(least_id.join(names, "component").select("cls", "component_id", "first"))
     out = own.select("doc_id", "th", "row", "n", "cls").join(named, "cls", "left")
     name = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(F.col("doc_id") == name, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("kept"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
