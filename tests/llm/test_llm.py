@@ -245,6 +245,16 @@ def test_line_dedup_odd_inputs(spark, odd, empty):
     assert line_dedup.dedup_lines(odd).columns[: len(odd.columns)] == odd.columns and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_without_ids(spark):
+    """Rows without an id lose what others have; repeated rows count once."""
+    passage = f"{words(30, 78)}\n{words(30, 79)}\n{words(30, 80)}"
+    rows = [(None, f"a\n{passage}"), (None, f"b\n{passage}"), (None, f"b\n{passage}"), (9, f"c\n{passage}"), (9, f"c\n{passage}")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in found), key=str) == sorted([(9, rows[3][1], 0)] * 2 + [(None, "a", 3)] + [(None, "b", 3)] * 2, key=str)
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows[:2], SCHEMA)).collect()
+    assert sorted(r.n_removed for r in found) == [0, 3]
+
+
 # ---- 10 and 5
 
 
@@ -408,6 +418,18 @@ def test_toxicity_chain_on_held_out_rows(spark, odd, empty):
     assert {r.p_toxic for r in toxicity.score(odd, none).collect()} == {0.5}
 
 
+def test_toxicity_labels_of_one_category(spark):
+    """Labels without a document use up no training rows, and each category takes the rows that have its label."""
+    docs, labels = labelled(spark, 600)
+    idle = spark.range(10**6, 10**6 + 5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
+    chain = toxicity.fit_chain(docs, labels.select("doc_id", "quality", "toxic").union(idle), ["quality", "toxic"], 500)
+    full = toxicity.fit_chain(docs, labels, ["quality", "toxic"], 500)
+    assert chain.vocabulary == full.vocabulary and all(np.allclose(a, b) for a, b in zip(chain.weights, full.weights, strict=True))
+    bare = toxicity.fit_chain(docs, labels.withColumn("quality", F.lit(None).cast("int")), ["quality", "toxic"])
+    held = [r for r in toxicity.score(docs, bare).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert np.mean([(r.p_toxic >= 0.5) == (r.doc_id % 5 == 1) for r in held]) > 0.9
+
+
 # ---- the pipeline
 
 

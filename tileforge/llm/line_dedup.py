@@ -1,6 +1,6 @@
 """Operator 2: deletes later copies of repeated line runs, by a suffix array over line ids.
 
-The corpus is one sequence of lines in the order (doc_id, text hash, line),
+The corpus is one sequence of lines in the order (doc_id nulls last, text hash, line),
 cut between documents; blank lines are left out of it. A run is a stretch of
 consecutive lines of one document. A line is deleted if it lies in a run of
 at least `min_words` words that also occurs earlier in the corpus.
@@ -25,8 +25,8 @@ How it is found:
 
 Defined cases: null texts stay null; documents of equal doc_id and text are one
 document and get the same result; of two texts with one doc_id that of the
-smaller hash is earlier; a document without a doc_id is left as it is, and no
-copy is deleted on its account. Columns n_lines and n_removed of the input are
+smaller hash is earlier; documents without a doc_id come last, in the order of
+their texts' hashes. Columns n_lines and n_removed of the input are
 replaced, other columns pass through.
 """
 
@@ -39,12 +39,17 @@ from .common import SPACED_WORD, materialise, table
 from .sharding import number_rows
 
 MIN_WORDS = 50
-_DOC = ["__doc", "__text"]
+_DOC = ["__unnamed", "__doc", "__text"]
+
+
+def _key(docs: DataFrame) -> list:
+    """The columns _DOC, none of them null, in the order of documents."""
+    return [F.col("doc_id").isNull().alias("__unnamed"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("__doc"), F.xxhash64("text").alias("__text")]
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """One row for each line with a word: its place, its hashes, and the lengths of the shortest runs from and to it."""
-    body = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__text"), F.expr(f"transform(filter(split(coalesce(text, ''), '\\n', -1), l -> l rlike r'{SPACED_WORD}'), l -> struct(xxhash64(l) as h1, hash(l) as h2, regexp_count(l, r'{SPACED_WORD}') as n))").alias("__l"))
+    body = docs.select(*_key(docs), F.expr(f"transform(filter(split(coalesce(text, ''), '\\n', -1), l -> l rlike r'{SPACED_WORD}'), l -> struct(xxhash64(l) as h1, hash(l) as h2, regexp_count(l, r'{SPACED_WORD}') as n))").alias("__l"))
     counted = body.withColumn("__n", F.expr("transform(__l, x -> x.n)"))
     run = f"aggregate({{}}, struct(0 as s, 0 as m), (a, x) -> if(a.s >= {min_words}, a, struct(a.s + x as s, a.m + 1 as m)), a -> if(a.s >= {min_words}, a.m, 0))"
     forth = run.format(f"slice(__n, i + 1, {min_words})")
@@ -58,12 +63,12 @@ def _numbered(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs to delete: __doc, __text, start and m (in lines with a word); runs may overlap."""
+    """Runs to delete: __unnamed, __doc, __text, start and m (in lines with a word); runs may overlap."""
     if min_words < 1:
         raise ValueError("min_words must be positive")
     lines = materialise(_lines(docs, min_words))
     ranked = lines.join(_numbered(lines, ["h1", "h2"]), ["h1", "h2"]).select(*_DOC, "seq", "forth", "back", "r")
-    level = base = materialise(ranked)
+    level = base = materialise(ranked.dropDuplicates([*_DOC, "seq"]))  # rows of one document count once
     level = level.select(*_DOC, "seq", "r")
     levels = [level]
     while 2 ** len(levels) <= min_words:
@@ -90,15 +95,15 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with its text cleaned, and n_lines, n_removed: lines with a word before, and those deleted."""
-    gone = later_copies(docs.select("doc_id", "text").where("doc_id is not null"), min_words)
+    gone = later_copies(docs.select("doc_id", "text"), min_words)
     gone = gone.select(*_DOC, F.explode(F.expr("sequence(start, start + m - 1)")).alias("seq")).distinct()
-    gone = gone.groupBy(*_DOC).agg(F.collect_list("seq").alias("__gone")).withColumnsRenamed({"__doc": "__doc2", "__text": "__text2"})
-    keyed = docs.withColumns({"__doc": F.col("doc_id"), "__text": F.xxhash64("text"), "__lines": F.split(F.coalesce("text", F.lit("")), "\n", -1)})
-    joined = keyed.join(gone, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__text") == F.col("__text2")), "left")
+    gone = gone.groupBy(*_DOC).agg(F.collect_list("seq").alias("__gone")).withColumnsRenamed({c: f"{c}2" for c in _DOC})
+    keyed = docs.withColumns({**dict(zip(_DOC, _key(docs), strict=True)), "__lines": F.split(F.coalesce("text", F.lit("")), "\n", -1)})
+    joined = keyed.join(gone, [F.col(c) == F.col(f"{c}2") for c in _DOC], "left")
     joined = joined.withColumn("__full", F.expr(f"filter(sequence(0, size(__lines) - 1), i -> __lines[i] rlike r'{SPACED_WORD}')"))
     joined = joined.withColumns({"n_lines": F.size("__full").cast("long"), "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")})
     kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), transform(__gone, s -> __full[s])), i -> __lines[i]), '\\n')")
-    return joined.withColumn("text", F.when(F.col("n_removed") > 0, kept).otherwise(F.col("text"))).drop("__doc", "__text", "__lines", "__doc2", "__text2", "__gone", "__full")
+    return joined.withColumn("text", F.when(F.col("n_removed") > 0, kept).otherwise(F.col("text"))).drop(*_DOC, *(f"{c}2" for c in _DOC), "__lines", "__gone", "__full")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,15 @@ the log-odds of the categories before it. While training, these earlier
 log-odds are out-of-fold predictions: those of models that didn't see the row,
 so that later models learn to weigh what they will meet on new texts.
 
-The models are fitted on at most `MAX_TRAIN` labelled rows, those of smallest
-id hash; the features are the `MAX_FEATURES` whose presence differs most
+The models are fitted on at most `MAX_TRAIN` labelled documents' rows, those of
+smallest id hash, each category on the rows that have its label; the features are the `MAX_FEATURES` whose presence differs most
 between the labels, counted over these rows. Every text is scored whole.
 
 `op3_toxicity_chain` chains the two labels that the table has: low quality
 (quality = 0), then toxic. `fit_chain` takes any label columns.
 
-Defined cases: null and empty texts have no features and are scored; labels
-that are null or without a document are ignored; a category with labels of one
+Defined cases: null and empty texts have no features and are scored; a label
+that is neither 0 nor 1, or without a document, is ignored; a category with labels of one
 kind only gets a constant probability; repeated rows get equal scores.
 """
 
@@ -91,16 +91,18 @@ class Chain:
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_train: int = MAX_TRAIN) -> Chain:
     """docs: doc_id, text. labels: doc_id and a 0/1 column for each category."""
-    known = labels.select(F.col("doc_id").alias("__id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)])
-    known = known.where(learnable("__id")).where(" and ".join(f"y{i} in (0, 1)" for i in range(len(categories)))).orderBy(F.xxhash64("__id"), "__id").limit(max_train)
+    known = labels.select(F.col("doc_id").alias("__id"), *[F.when(F.col(c).cast("int").isin(0, 1), F.col(c).cast("int")).alias(f"y{i}") for i, c in enumerate(categories)])
+    known = known.where(learnable("__id")).where(" or ".join(f"y{i} is not null" for i in range(len(categories))))
+    known = known.join(docs.select(F.col("doc_id").alias("__id")), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     joined = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
     ys = [f"y{i}" for i in range(len(categories))]
     schema = "doc_id long, " + ", ".join(f"{y} int" for y in ys) + ", features array<string>"
     rows = materialise(joined.select("doc_id", *ys, "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").mapInArrow(_present, schema))
-    totals = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).first()
+    totals = rows.agg(F.count("*").alias("n"), *[F.count(y).alias(f"n_{y}") for y in ys], *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).first()
     n = totals["n"]
-    counts = rows.select(F.explode("features").alias("f"), *ys).groupBy("f").agg(F.count("*").alias("c"), *[F.sum(y).alias(y) for y in ys]).where("c > 1")
-    ranked = F.greatest(F.lit(0.0), *[F.abs(F.col(y) - F.col("c") * (totals[y] / n)) / F.sqrt(F.col("c") * (totals[y] / n * (1 - totals[y] / n)) + 1) for y in ys]) if n else F.lit(0.0)
+    rate = {y: totals[y] / max(1, totals[f"n_{y}"]) for y in ys}
+    counts = rows.select(F.explode("features").alias("f"), *ys).groupBy("f").agg(F.count("*").alias("c"), *[F.count(y).alias(f"c_{y}") for y in ys], *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).where("c > 1")
+    ranked = F.greatest(F.lit(0.0), *[F.abs(F.col(y) - F.col(f"c_{y}") * rate[y]) / F.sqrt(F.col(f"c_{y}") * (rate[y] * (1 - rate[y])) + 1) for y in ys]) if n else F.lit(0.0)
     chosen = [r["f"] for r in counts.withColumn("z", ranked).orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()]
     chain = Chain(categories, chosen)
     numbers = F.array_intersect("features", F.array(*[F.lit(f) for f in chosen])) if chosen else F.expr("cast(array() as array<string>)")
@@ -113,20 +115,21 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_tra
     fold = np.array([(row["doc_id"] * 2654435761 >> 7) % FOLDS for row in sample], np.int64)
     outside = np.zeros((n, 0))
     for k, name in enumerate(ys):
-        y = np.array([row[name] for row in sample], float)
+        y = np.array([np.nan if row[name] is None else row[name] for row in sample], float)
+        own = ~np.isnan(y)
         full = np.hstack([x[:, :-1], outside, x[:, -1:]])
-        if n == 0 or y.min() == y.max():
+        if not own.any() or y[own].min() == y[own].max():
             w = np.zeros(width + k + 1)
-            w[-1] = 0.0 if n == 0 else math.copysign(12.0, y[0] - 0.5)
+            w[-1] = math.copysign(12.0, y[own][0] - 0.5) if own.any() else 0.0
             chain.weights.append(w)
             outside = np.hstack([outside, np.full((n, 1), w[-1])])
             continue
-        chain.weights.append(_logistic(full, y))
+        chain.weights.append(_logistic(full[own], y[own]))
         odds = np.zeros(n)
         for part in range(FOLDS):
-            rest = fold != part
-            if rest.any() and (~rest).any():
-                odds[~rest] = _odds(full[~rest], _logistic(full[rest], y[rest]))
+            here, rest = fold == part, (fold != part) & own
+            if rest.any() and here.any():
+                odds[here] = _odds(full[here], _logistic(full[rest], y[rest]))
         outside = np.hstack([outside, odds[:, None]])
     return chain
 
