@@ -266,6 +266,23 @@ def test_byte_bpe_matches_the_library(spark, odd, empty):
     rows = bpe.decode(bpe.encode(odd, pieces, public_tokenizers.PATTERN), pieces).collect()
     assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in rows) == Counter((i, tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t in ODD)
     assert bpe.encode(empty, pieces, public_tokenizers.PATTERN).count() == 0
+    long = dict(enumerate(["".join(random.Random(1).choice("abcdefXYZ0189+/") for _ in range(4000)), "日本語の文章" * 200, "=" * 700, f"{'Ünï' * 300} it's {'ab' * 200}"]))
+    rows = bpe.encode(spark.createDataFrame(list(long.items()), SCHEMA), pieces, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: list(r.ids) for r in rows} == {i: library.encode_ordinary(t) for i, t in long.items()}
+
+
+def test_byte_bpe_in_small_chunks(spark, monkeypatch, tmp_path):
+    """Chunks of a few texts, with and without common words."""
+    import tiktoken
+
+    pieces = bpe.load_ranks(BPE)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
+    texts = {i: words(50, i, 300) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA).coalesce(2)
+    common = bpe._common(docs.select(F.col("doc_id").alias("key"), "text"), bpe.Vocabulary(public_tokenizers.PATTERN, pieces), bpe.rank_map(pieces))
+    assert len(common[0]) > 20 and all(library.encode_ordinary(w) == ids for w, ids in zip(common[0].to_pylist(), common[1].to_pylist(), strict=True))
+    rows = bpe.digests(docs, pieces, public_tokenizers.PATTERN).collect()
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows} == {(i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items() for x in [library.encode_ordinary(t)]}
 
 
 @pytest.mark.parametrize("values", [[0], [5], [1, 1, 1], list(range(300)), sorted(np.random.default_rng(1).integers(0, 10**9, 1000).tolist())])

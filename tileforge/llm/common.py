@@ -53,3 +53,19 @@ def lower_ascii(text):
 def tasks(df: DataFrame, per_task: int = 1) -> int:
     """Shuffle partitions of the session, for explicit repartitioning."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * per_task)
+
+
+def bounded(batches, most: int, key: str = "key", text: str = "text"):
+    """(keys, texts, bytes) of Arrow batches, some `most` bytes of text at a time; null texts are empty ones."""
+    for batch in batches:
+        keys, texts, size = [], [], 0
+        for k, t in zip(batch.column(key), batch.column(text), strict=True):
+            value = t.as_py() or ""
+            keys.append(k.as_py())
+            texts.append(value)
+            size += len(value)
+            if size >= most:
+                yield keys, texts, size
+                keys, texts, size = [], [], 0
+        if keys:
+            yield keys, texts, size
