@@ -64,9 +64,9 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-ɏ]*")
 _PLAIN_CLASSES = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"\p{N}": "0-9²³¹¼½¾"}
 
 #: Bytes of text whose words are made distinct together, and of those that are split at a time.
-CHUNK_BYTES, STEP_BYTES = 32 << 20, 2 << 20
+CHUNK_BYTES, STEP_BYTES = 24 << 20, 1 << 20
 #: Words handed on in a row, ids put in place at a time, bytes beyond which a word is cut first, and rows decoded at a time.
-ROW_WORDS, STEP_IDS, LONG_WORD = 8192, 1 << 20, 256
+ROW_WORDS, STEP_IDS, LONG_WORD = 8192, 1 << 18, 256
 DECODED_ROWS = 256
 #: Common words: at most so many, of at most so many characters, from a sample of that share of the rows.
 COMMON_WORDS, COMMON_LENGTH, SAMPLE, SEED = 400_000, 64, 0.2, 1
@@ -317,7 +317,9 @@ class _Chunk:
             code[i] = -1 - len(parts)
             parts.append(np.array(own, np.int32))
         fold.append(pa.array(list(numbers), pa.binary()))
-        codes, sizes = code[np.concatenate([np.asarray(c.indices) for c in coded.chunks])], np.concatenate(self.sizes)
+        codes, sizes = np.concatenate([code[np.asarray(c.indices)] for c in coded.chunks]), np.concatenate(self.sizes)
+        del coded
+        self.coded.clear()
         if parts and len(codes):
             at = np.flatnonzero(codes < 0)
             owner = np.searchsorted(np.cumsum(sizes), at, side="right")
@@ -332,7 +334,8 @@ class _Chunk:
                 lists = _byte_ids(some.slice(at, ROW_WORDS), byte_ids)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists), *(pa.nulls(1, f.type) for f in list(_WORDS)[1:])], schema=_WORDS)
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in (self.keys, np.cumsum(sizes))]
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, _WORDS.field("words").type), *lists, pa.array([codes.astype("<i4").tobytes()], pa.binary())], schema=_WORDS)
+        raw = pa.BinaryArray.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, codes.nbytes], np.int32)), pa.py_buffer(codes.astype("<i4", copy=False))])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, _WORDS.field("words").type), *lists, raw], schema=_WORDS)
 
 
 def _split(vocabulary: Vocabulary, batches):
