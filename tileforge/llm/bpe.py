@@ -303,7 +303,7 @@ class _Chunk:
         place = pc.index_in(words, value_set=known[0])
         new = np.asarray(pc.is_null(place))
         long = np.asarray(pc.greater(pc.binary_length(words), LONG_WORD)) & new
-        code = np.append(known[1], 0)[np.asarray(pc.fill_null(place, len(known[1])))]
+        code = np.append(known[1], np.int32(0))[np.asarray(pc.fill_null(place, len(known[1])))]
         short = new & ~long
         code[short] = vocabulary.first + np.arange(short.sum())
         fold = [words.filter(pa.array(short)).cast(pa.binary())]
