@@ -437,6 +437,42 @@ def test_quality_model_on_held_out_rows(spark, odd, empty):
     assert quality_model.keep_good(odd, labels.limit(0)).collect() == odd.collect()
 
 
+def test_quality_matches_brute_force(spark):
+    """Features, ridge weights, out-of-fold scores and calibration, computed anew from whole arrays."""
+    docs, labels = labelled(spark, 300)
+    x = {r.doc_id: np.array(quality_model.statistics(r.text)) for r in docs.collect()}
+    y = {r.doc_id: float(r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.quality in (0, 1)}
+    fold = {r.id: r.f for r in spark.range(300).select("id", F.expr(f"cast(pmod(xxhash64(id), {quality_model.FOLDS}L) as int)").alias("f")).collect()}
+    ids = sorted(y)
+    raw = np.array([x[i] for i in ids])
+    mean, spread = raw.mean(axis=0), raw.std(axis=0)
+    spread[spread <= 1e-9] = 1.0
+    d, draw = quality_model.DIMENSIONS, np.random.default_rng(quality_model.SEED)
+    w = draw.normal(size=(raw.shape[1], d)) * np.sqrt(2.0 / raw.shape[1])
+    b = draw.uniform(0, 2 * np.pi, d)
+    lift = lambda v: np.append(np.sqrt(2 / d) * np.cos(np.clip((v - mean) / spread, -6, 6) @ w + b), 1.0)
+
+    def ridge(own):
+        z, t = np.array([lift(x[i]) for i in own]), np.array([y[i] for i in own])
+        a = z.T @ z
+        return np.linalg.solve(a + quality_model.RIDGE * len(own) * np.diag([1.0] * d + [0.0]) + 1e-9 * np.eye(d + 1), z.T @ t)
+
+    whole = ridge(ids)
+    parts = [ridge([i for i in ids if fold[i] != k]) for k in range(quality_model.FOLDS)]
+    outside = {i: lift(x[i]) @ parts[fold[i]] for i in ids}
+    bins = defaultdict(list)
+    for i in ids:
+        bins[int(np.clip((outside[i] + 0.5) / 2 * quality_model.BINS, 0, quality_model.BINS - 1))].append(i)
+    at = [(np.mean([outside[i] for i in own]), np.mean([y[i] for i in own]), len(own)) for _, own in sorted(bins.items())]
+    xs, levels = [p[0] for p in at], []
+    for k in range(len(at)):  # the largest of the least means: isotonic regression by its formula
+        levels.append(max(min(np.average([p[1] for p in at[i : j + 1]], weights=[p[2] for p in at[i : j + 1]]) for j in range(k, len(at))) for i in range(k + 1)))
+    centres = {level: np.average([v for v, m in zip(xs, levels, strict=True) if m == level], weights=[p[2] for p, m in zip(at, levels, strict=True) if m == level]) for level in sorted(set(levels))}
+    for r in quality_model.score(docs, labels).collect():
+        expected = np.interp(lift(x[r.doc_id]) @ whole, list(centres.values()), list(centres))
+        assert abs(r.score - expected) < 1e-4
+
+
 def test_isotonic_pools_violators():
     x, y = quality_model.isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert x.tolist() == [0, 1.5, 3] and y.tolist() == [0, 0.5, 1]
@@ -453,6 +489,50 @@ def test_toxicity_chain_on_held_out_rows(spark, odd, empty):
     assert {r.p_toxic for r in toxicity.score(odd, none).collect()} == {0.5}
 
 
+def test_toxicity_matches_brute_force(spark):
+    """The chain, computed anew with lists and plain gradient steps."""
+    docs, labels = labelled(spark, 200)
+    names = ["quality", "toxic"]
+    chain = toxicity.fit_chain(docs, labels, names)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: [float(r.quality), float(r.toxic)] for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    present = {i: toxicity.features(t) for i, t in texts.items()}
+    counts = Counter(f for i in known for f in present[i])
+    share = np.mean(list(known.values()), axis=0)
+
+    def distance(f):
+        hit = np.sum([known[i] for i in known if f in present[i]], axis=0)
+        return max(abs(h - counts[f] * p) / np.sqrt(counts[f] * p * (1 - p) + 1) for h, p in zip(hit, share, strict=True))
+
+    best = sorted((f for f in counts if counts[f] > 1), key=lambda f: (-round(distance(f), 9), f))[: toxicity.MAX_FEATURES]
+    assert set(chain.vocabulary) == set(best)
+    order = sorted(chain.vocabulary, key=chain.vocabulary.get)
+    row = lambda i: [float(f in present[i]) for f in order]
+
+    def fitted(x, y):
+        """Newton's method to the end, on the penalised likelihood."""
+        x, y, w = np.array(x), np.array(y), np.zeros(len(x[0]))
+        penalty = np.array([toxicity.RIDGE] * (len(w) - 1) + [1e-6])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ w))
+            w = w - np.linalg.solve(x.T @ np.diag(p * (1 - p)) @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        return w
+
+    sure = lambda z: 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+    ids = sorted(known)
+    fold = {i: (i * 2654435761 >> 7) % toxicity.FOLDS for i in ids}
+    first = [row(i) + [1.0] for i in ids]
+    models, outside = [fitted(first, [known[i][0] for i in ids])], {}
+    for part in range(toxicity.FOLDS):
+        w = fitted([x for x, i in zip(first, ids, strict=True) if fold[i] != part], [known[i][0] for i in ids if fold[i] != part])
+        outside |= {i: sure(np.dot(x, w)) for x, i in zip(first, ids, strict=True) if fold[i] == part}
+    models.append(fitted([row(i) + [outside[i], 1.0] for i in ids], [known[i][1] for i in ids]))
+    for r in toxicity.score(docs, chain).collect():
+        p = sure(np.dot(row(r.doc_id) + [1.0], models[0]))
+        q = sure(np.dot(row(r.doc_id) + [p, 1.0], models[1]))
+        assert abs(p - r.p_quality) < 2e-3 and abs(q - r.p_toxic) < 2e-3
+
+
 def test_toxicity_labels_of_one_category(spark):
     """Labels without a document use up no training rows, and each category takes the rows that have its label."""
     docs, labels = labelled(spark, 600)

@@ -55,17 +55,23 @@ def tasks(df: DataFrame, per_task: int = 1) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * per_task)
 
 
+def slices(batch, most: int, text: str = "text"):
+    """An Arrow batch in slices of some `most` bytes of text, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
+    piece = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    for at, until in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(at, until - at)
+
+
 def bounded(batches, most: int, key: str = "key", text: str = "text"):
     """(keys, texts, bytes) of Arrow batches, some `most` bytes of text at a time; null texts are empty ones."""
     for batch in batches:
-        keys, texts, size = [], [], 0
-        for k, t in zip(batch.column(key), batch.column(text), strict=True):
-            value = t.as_py() or ""
-            keys.append(k.as_py())
-            texts.append(value)
-            size += len(value)
-            if size >= most:
-                yield keys, texts, size
-                keys, texts, size = [], [], 0
-        if keys:
-            yield keys, texts, size
+        for part in slices(batch, most, text):
+            texts = [t.as_py() or "" for t in part.column(text)]
+            yield part.column(key).to_pylist(), texts, sum(map(len, texts))

@@ -2,20 +2,24 @@
 
 Categories are predicted in a fixed order. Each has its own logistic model
 over binary features of a text (its words and their first four letters) plus
-the log-odds of the categories before it. While training, these earlier
-log-odds are out-of-fold predictions: those of models that didn't see the row,
-so that later models learn to weigh what they will meet on new texts.
+the probabilities of the categories before it. While training, these earlier
+probabilities are out-of-fold predictions: those of models that didn't see the
+row, so that later models learn to weigh what they will meet on new texts.
 
 The models are fitted on at most `MAX_TRAIN` labelled documents' rows, those of
-smallest id hash, each category on the rows that have its label; the features are the `MAX_FEATURES` whose presence differs most
-between the labels, counted over these rows. Every text is scored whole.
+smallest id hash, each category on the rows that have its label; the features
+are the `MAX_FEATURES` whose presence differs most between the labels, counted
+over these rows. Every text is scored whole.
 
 `op3_toxicity_chain` chains the two labels that the table has: low quality
 (quality = 0), then toxic. `fit_chain` takes any label columns.
 
 Defined cases: null and empty texts have no features and are scored; a label
-that is neither 0 nor 1, or without a document, is ignored; a category with labels of one
-kind only gets a constant probability; repeated rows get equal scores.
+that is neither 0 nor 1, or without a document, is ignored; a category with
+labels of one kind only, or none, gets a constant probability; an empty table
+gives an empty table; repeated rows get equal scores; a text, however long, is
+read whole and must fit in a worker with its distinct words; only doc_id and
+text of the documents are read.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 from .quality_model import learnable
 
 MAX_TRAIN = 20_000
 MAX_FEATURES = 400
 FOLDS = 4
 RIDGE = 0.1
+#: Characters of text whose features are held at a time.
+STEP_CHARS = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIX = 4
 
@@ -47,9 +53,9 @@ def features(text: str | None) -> set[str]:
 
 def _present(batches):
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        rows = [sorted(features(t)) for t in texts]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(rows, pa.list_(pa.string()))], [*batch.schema.names[:-1], "features"])
+        for part in slices(batch, STEP_CHARS):
+            rows = [sorted(features(t.as_py())) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, pa.list_(pa.string()))], [*part.schema.names[:-1], "features"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -68,12 +74,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return np.clip(x @ w, -12, 12)
+def _probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -12, 12)))
 
 
 class Chain:
-    """Feature numbers, and weights for each category in order: features, earlier log-odds, constant."""
+    """Feature numbers, and weights for each category in order: features, earlier probabilities, constant."""
 
     def __init__(self, categories: list[str], vocabulary: list[str]):
         self.categories, self.vocabulary = categories, {f: i for i, f in enumerate(vocabulary)}
@@ -81,12 +87,11 @@ class Chain:
 
     def predict(self, present: list[list[int]]) -> np.ndarray:
         """Probabilities, a row for each text."""
-        odds = np.zeros((len(present), len(self.categories)))
+        found = np.zeros((len(present), len(self.categories)))
         n = len(self.vocabulary)
         for k, w in enumerate(self.weights):
-            odds[:, k] = [w[p].sum() for p in present]
-            odds[:, k] = np.clip(odds[:, k] + odds[:, :k] @ w[n:-1] + w[-1], -12, 12)
-        return 1 / (1 + np.exp(-odds))
+            found[:, k] = _probability(np.array([w[p].sum() for p in present]) + found[:, :k] @ w[n:-1] + w[-1])
+        return found
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_train: int = MAX_TRAIN) -> Chain:
@@ -122,15 +127,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_tra
             w = np.zeros(width + k + 1)
             w[-1] = math.copysign(12.0, y[own][0] - 0.5) if own.any() else 0.0
             chain.weights.append(w)
-            outside = np.hstack([outside, np.full((n, 1), w[-1])])
+            outside = np.hstack([outside, np.full((n, 1), _probability(w[-1]))])
             continue
         chain.weights.append(_logistic(full[own], y[own]))
-        odds = np.zeros(n)
+        earlier = np.full(n, y[own].mean())
         for part in range(FOLDS):
             here, rest = fold == part, (fold != part) & own
             if rest.any() and here.any():
-                odds[here] = _odds(full[here], _logistic(full[rest], y[rest]))
-        outside = np.hstack([outside, odds[:, None]])
+                earlier[here] = _probability(full[here] @ _logistic(full[rest], y[rest]))
+        outside = np.hstack([outside, earlier[:, None]])
     return chain
 
 
@@ -141,7 +146,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     def scored(batches):
         number = chain.vocabulary
         for batch in batches:
-            present = [[number[f] for f in features(t) & number.keys()] for t in batch.column("text").to_pylist()]
+            present = [[number[f] for f in features(t.as_py()) & number.keys()] for t in batch.column("text")]
             found = chain.predict(present)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(found[:, k]) for k in range(len(names))]], ["doc_id", *names])
 
