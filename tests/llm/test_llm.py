@@ -362,6 +362,7 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, long_list, block)
     """Groups of copies, chains of edits, a passage in many texts; also with nearly all lists searched in blocks."""
     monkeypatch.setattr(near_dup, "LONG_LIST", long_list)
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "COLUMNS", 7 * block)
     draw = random.Random(3)
     rows, passage = [], words(40, 99)
     for g in range(12):
@@ -372,6 +373,8 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, long_list, block)
             for _ in range(max(1, len(text) // 60)):
                 text[draw.randrange(len(text))] = f"n{draw.randrange(10**6)}"
     rows += [(len(rows) + k, f"{words(12, 500 + k)} {passage}".upper() if k % 2 else f"{words(12, 500 + k)}  {passage}") for k in range(20)]
+    template = words(60, 98)  # with 9 words of its own a page is just linked to others, with 12 it isn't
+    rows += [(len(rows) + k, f"{template} {words(9 if k % 3 else 12, 700 + k)}") for k in range(18)]
     found = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)

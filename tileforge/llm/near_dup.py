@@ -7,18 +7,23 @@ of 0.75 or more; linked texts form components, of which one document stays.
    are the sketch. Texts with equal sets form a class, which goes on as one.
 2. Inverted lists hold the classes that retain a value. Two linked classes
    share at least c of their retained values: exactly 3/4 of a set of up to
-   48, else 29 of 64, which a linked pair misses with a chance below 1e-6. So
+   48, else 29 of 64, which a linked pair misses with a chance of 1e-7. So
    a class is listed only under its rarest values, all but c - 1 of them
    (values that no other class retains are rarest and need no list).
 3. In each list every member is paired with one pivot, a random member that
    differs by list. Pairs whose union sketch puts the similarity six standard
    deviations below 0.75 go, which never asks for more than step 2 does; the others are verified on full sets.
-4. What one round of joining these links puts together needs no further pairs. Only lists whose members lie
-   in different components are searched for the pairs that pivots missed:
-   short lists pair by pair, long ones in blocks, where a product of two
-   incidence matrices gives all intersections of two blocks at once. So a
-   group of any number of copies costs one pair for each member and list, and
-   no link between different texts is lost.
+4. What one round of joining these links puts together needs no further pairs.
+   Only lists whose members lie in different components are searched for the
+   pairs that pivots missed: short ones pair by pair. Members of long ones,
+   texts that share a common passage, are listed anew among themselves under
+   the rarest of `REFINED` retained values each (all their shingles, if they
+   have no more), where only texts meet that share most of what they have;
+   steps 3 and 4 are made again there. What is still long and open goes in
+   blocks, where products of two incidence matrices, some columns at a time,
+   give all intersections of two blocks. So a group of any number of copies
+   costs one pair for each member and list, and no link between different
+   texts is lost.
 
 Sets, lists, links and components stay distributed; the driver sees counts.
 
@@ -40,19 +45,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table
 
 K = 64
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
-#: Sets up to this size have partners up to K, so their overlaps are known exactly.
-WHOLE = K * NUMERATOR // DENOMINATOR
 LEAST_SHARED = 29
+#: Values of members of long lists, and the least that two of them share: six deviations below three quarters.
+REFINED, LEAST_REFINED = 512, 325
 #: At 64 values six deviations keep pairs that share 28, one less than the lists ask for.
 DEVIATIONS = 6
 LONG_LIST = 64
-BLOCK = 1024
-MEMO_WORDS = 500_000
+#: A block's members and shingles, and the columns of a product.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 200_000, 4096
+MEMO_WORDS = 150_000
+#: Bytes of text hashed at a time.
+STEP_BYTES = 2 << 20
 #: Rows of (id, text hash) that may be broadcast to fetch texts, some 40 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -91,7 +99,7 @@ class _Shingler:
 
 def _sketches(batches):
     shingles = _Shingler()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, STEP_BYTES)):
         sizes, keys, sketches = [], [], []
         for text in batch.column("text"):
             s = shingles(text.as_py())
@@ -103,16 +111,16 @@ def _sketches(batches):
 
 def _sets(batches):
     shingles = _Shingler()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, STEP_BYTES)):
         yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([shingles(t.as_py()) for t in batch.column("text")], pa.list_(pa.int64()))], ["cls", "s"])
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """v, cls, n: the inverted lists of values that two classes retain, without the c - 1 commonest of each class."""
+def _lists(classes: DataFrame, k: int = K, least_shared: int = LEAST_SHARED) -> DataFrame:
+    """v, cls, n: the inverted lists of values that two classes retain (k at most), without the c - 1 commonest of each class."""
     values = classes.select("cls", "n", F.explode("sketch").alias("v"))
     shared = materialise(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     by_class = values.join(shared, "v").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("x"))
-    least = f"if(n <= {WHOLE}, (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR}, {LEAST_SHARED})"
+    least = f"if(n <= {k * NUMERATOR // DENOMINATOR}, (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR}, {least_shared})"
     kept = by_class.withColumn("keep", F.expr(f"cast(size(x) - {least} + 1 as int)")).where("keep > 0")
     return kept.select("cls", "n", F.explode(F.expr("slice(x, 1, keep)")).alias("y")).select(F.col("y.v").alias("v"), "cls", "n")
 
@@ -120,11 +128,11 @@ def _lists(classes: DataFrame) -> DataFrame:
 _RATIO = f"least(n_a, n_b) * {DENOMINATOR} >= greatest(n_a, n_b) * {NUMERATOR}"
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
     """Pairs (a, b) whose sizes and union sketch allow a link."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(_RATIO)
-    both = both.withColumn("u", F.expr(f"slice(array_sort(array_union(s_a, s_b)), 1, {K})"))
+    both = both.withColumn("u", F.expr(f"slice(array_sort(array_union(s_a, s_b)), 1, {k})"))
     share = "size(array_intersect(u, array_intersect(s_a, s_b))) / size(u)"
     return both.where(f"{share} >= {NUMERATOR / DENOMINATOR} - {DEVIATIONS} * 0.4331 / sqrt(size(u))").select("a", "b")
 
@@ -167,22 +175,21 @@ def _block_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     left, right = rows[rows["block"] == left_block], rows[rows["block"] == right_block]
     out: list[tuple[bytes, bytes]] = []
     if len(left) and len(right):
-        flat = np.concatenate([*left["s"], *right["s"]])
-        _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
-        column = np.cumsum(count > 1) - 1
-        own = (count > 1)[number]
-
-        def incidence(sets, first):
-            sizes = np.array([len(s) for s in sets])
-            m = np.zeros((len(sets), int((count > 1).sum())), np.float32)
-            part = slice(first, first + sizes.sum())
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            m[owner[own[part]], column[number[part][own[part]]]] = 1
-            return m, sizes
-
-        a, na = incidence(left["s"].tolist(), 0)
-        b, nb = incidence(right["s"].tolist(), int(na.sum()))
-        shared = a @ b.T
+        sets = [*left["s"], *right["s"]]
+        sizes = np.array([len(x) for x in sets])
+        _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        common = (count > 1)[number]
+        owner, column = owner[common], (np.cumsum(count > 1) - 1)[number[common]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[owner[part], column[part] - at] = 1
+            shared += m[: len(left)] @ m[len(left) :].T
+        na, nb = sizes[: len(left)], sizes[len(left) :]
         linked = shared * DENOMINATOR >= (na[:, None] + nb[None, :] - shared) * NUMERATOR
         ca, cb = left["comp"].to_numpy(), right["comp"].to_numpy()
         seen = set()
@@ -218,36 +225,21 @@ def _rows(docs: DataFrame) -> DataFrame:
     own = materialise(rows.mapInArrow(_sketches, "doc_id long, th long, n long, cls binary, sketch array<bigint>").withColumn("row", F.monotonically_increasing_id()))
     classes = materialise(own.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "row")).alias("f"), F.min("n").alias("n"), F.first("sketch").alias("sketch")).select("cls", "n", "sketch", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("th"), F.col("f.row").alias("row")))
 
-    lists = materialise(_lists(classes))
-    pivots = materialise(lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("cls", "v"), "cls")).alias("p"), F.count("*").alias("c")).where("c > 1").select("v", F.col("p.cls").alias("pivot"), "c"))
-    starred = lists.join(pivots, "v").where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    tried = materialise(_plausible(starred, classes))
-
     def sets_of(wanted: DataFrame) -> DataFrame:
         places = materialise(wanted.join(classes.select("cls", "first_id", "th"), "cls").select("cls", F.col("first_id").alias("__id"), F.col("th").alias("__th")))
         places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
         texts = rows.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("cls", "text")
         return materialise(texts.mapInArrow(_sets, "cls binary, s array<bigint>").dropDuplicates(["cls"]))
 
-    members = lambda pairs: pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = sets_of(members(tried))
-    links = materialise(_links(tried, sets))
-    found = components(links, complete=False)  # the least node has none of its own, so it stands for itself
-
-    placed = materialise(lists.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").select("v", "cls", "n", F.coalesce("component", "cls").alias("comp")))
-    mixed = materialise(placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("v", "c"))
-    open_lists = materialise(placed.join(mixed, "v"))
-    short = open_lists.where(f"c <= {LONG_LIST}")
-    a, b = short.select("v", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a")), short.select("v", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    missed = a.join(b, "v").where("a < b and comp_a <> comp_b").where(_RATIO).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    missed = materialise(_plausible(missed, classes))
-    long = open_lists.where(f"c > {LONG_LIST}")
-    more = sets_of(members(missed).union(long.select("cls").distinct()).distinct())
-    links = links.union(_links(missed, more))
-    blocks = long.withColumn("blocks", F.expr(f"cast(ceil(c / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
-    dealt = blocks.select("v", "cls", "comp", "block", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as x, greatest(o, block) as y))")).alias("p")).select("v", "p.x", "p.y", "block", "cls", "comp")
-    in_blocks = dealt.join(more, "cls").groupBy("v", "x", "y").applyInPandas(_block_links, "a binary, b binary")
-    links = materialise(links.union(in_blocks))
+    lists = materialise(_lists(classes))
+    tried = materialise(_plausible(_pivoted(lists), classes))
+    links = materialise(_links(tried, sets_of(_members(tried))))
+    short, long = _open(lists, links)
+    missed = materialise(_plausible(_pairs(short).join(tried, ["a", "b"], "left_anti"), classes))
+    sets = sets_of(_members(missed).union(long.select("cls")).distinct())
+    links = materialise(links.union(_links(missed, sets)))
+    if not long.isEmpty():
+        links = materialise(links.union(_refined(long, sets, links)))
     found = components(links)
 
     least_id = classes.select("cls", "first_id", "th", "row").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -259,6 +251,45 @@ def _rows(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("kept"))
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def _pivoted(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's members with a random one of them."""
+    pivots = materialise(lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("cls", "v"), "cls")).alias("p"), F.count("*").alias("c")).where("c > 1").select("v", F.col("p.cls").alias("pivot")))
+    return lists.join(pivots, "v").where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+
+
+def _open(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """v, cls, n, comp, c and total (of shingles) of the lists with members in different components: short and long ones."""
+    found = components(links, complete=False)  # the least node has none of its own, so it stands for itself
+    placed = materialise(lists.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").select("v", "cls", "n", F.coalesce("component", "cls").alias("comp")))
+    mixed = materialise(placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("total")).where("lo < hi").select("v", "c", "total"))
+    both = materialise(placed.join(mixed, "v"))
+    return both.where(f"c <= {LONG_LIST}"), both.where(f"c > {LONG_LIST}")
+
+
+def _pairs(short: DataFrame) -> DataFrame:
+    """All pairs (a, b) within short lists whose components differ and whose sizes allow a link."""
+    a, b = (short.select("v", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    return a.join(b, "v").where("a < b and comp_a <> comp_b").where(_RATIO).select("a", "b").distinct()
+
+
+def _refined(long: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """The links between members of long lists that join components, up to what other links give."""
+    classes = materialise(long.select("cls", "n").distinct().join(sets, "cls").select("cls", "n", F.slice("s", 1, REFINED).alias("sketch")))
+    lists = materialise(_lists(classes, REFINED, LEAST_REFINED))
+    tried = materialise(_plausible(_pivoted(lists), classes, REFINED))
+    found = materialise(_links(tried, sets))
+    short, rest = _open(lists, links.union(found))
+    missed = _plausible(_pairs(short).join(tried, ["a", "b"], "left_anti"), classes, REFINED)
+    blocks = rest.withColumn("blocks", F.expr(f"cast(ceil(greatest(c / {BLOCK}, total / {BLOCK_SHINGLES})) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    dealt = blocks.select("v", "cls", "comp", "block", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as x, greatest(o, block) as y))")).alias("p")).select("v", "p.x", "p.y", "block", "cls", "comp")
+    in_blocks = dealt.join(sets, "cls").groupBy("v", "x", "y").applyInPandas(_block_links, "a binary, b binary")
+    return found.union(_links(missed, sets)).union(in_blocks)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
