@@ -64,7 +64,7 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-ɏ]*")
 _PLAIN_CLASSES = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"\p{N}": "0-9²³¹¼½¾"}
 
 #: Bytes of text whose words are made distinct together, and of those that are split at a time.
-CHUNK_BYTES, STEP_BYTES = 24 << 20, 1 << 20
+CHUNK_BYTES, STEP_BYTES = 16 << 20, 1 << 20
 #: Words handed on in a row, ids put in place at a time, bytes beyond which a word is cut first, and rows decoded at a time.
 ROW_WORDS, STEP_IDS, LONG_WORD = 8192, 1 << 18, 256
 DECODED_ROWS = 256
