@@ -36,6 +36,8 @@ from .common import materialise, slices, table
 from .quality_model import learnable
 
 MAX_TRAIN = 20_000
+#: The sample is bounded, so these tasks are enough at any size of the input.
+TRAIN_TASKS = 12
 MAX_FEATURES = 400
 FOLDS = 4
 RIDGE = 0.1
@@ -102,7 +104,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_tra
     joined = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
     ys = [f"y{i}" for i in range(len(categories))]
     schema = "doc_id long, " + ", ".join(f"{y} int" for y in ys) + ", features array<string>"
-    rows = materialise(joined.select("doc_id", *ys, "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").mapInArrow(_present, schema))
+    rows = materialise(joined.select("doc_id", *ys, "text").repartition(TRAIN_TASKS).mapInArrow(_present, schema))
     totals = rows.agg(F.count("*").alias("n"), *[F.count(y).alias(f"n_{y}") for y in ys], *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).first()
     n = totals["n"]
     rate = {y: totals[y] / max(1, totals[f"n_{y}"]) for y in ys}
