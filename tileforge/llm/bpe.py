@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import bounded, materialise, table
+from .common import bounded, lean, materialise, table
 
 #: Letters and numbers that newer Unicode versions have beyond Unicode 16, to which the split keeps.
 _NEWER_LETTERS = (
@@ -182,7 +182,7 @@ def _folded(rows: DataFrame, ranks: np.ndarray) -> DataFrame:
 
 def _common(rows: DataFrame, vocabulary: Vocabulary, ranks: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Words that a sample has most often, twice at least, and their ids; at most COMMON_WORDS."""
-    counts = rows.sample(SAMPLE, SEED).mapInArrow(functools.partial(_counted, vocabulary), "word string, n long").groupBy("word").agg(F.least(F.sum("n"), F.lit(HIGHEST)).alias("n"))
+    counts = rows.sample(SAMPLE, SEED).mapInArrow(lean(functools.partial(_counted, vocabulary)), "word string, n long").groupBy("word").agg(F.least(F.sum("n"), F.lit(HIGHEST)).alias("n"))
     counts = materialise(counts.where("n > 1"))
     least, total = HIGHEST + 1, 0
     for row in counts.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect():
@@ -213,9 +213,9 @@ def _encoded(docs: DataFrame, pieces: list[bytes], pattern: str, key: str, text:
     ranks, vocabulary = rank_map(pieces), Vocabulary(pattern, pieces)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     words, ids = _common(rows, vocabulary, ranks)
-    split = rows.mapInArrow(functools.partial(_split, Vocabulary(pattern, pieces, words)), "words array<array<bigint>>, keys array<bigint>, ends array<bigint>, codes binary")
+    split = rows.mapInArrow(lean(functools.partial(_split, Vocabulary(pattern, pieces, words))), "words array<array<bigint>>, keys array<bigint>, ends array<bigint>, codes binary")
     placed = functools.partial(_placed, len(pieces), ids)
-    return _folded(split, ranks).mapInArrow(lambda batches: then(placed(batches)), f"key long, {schema}").withColumnRenamed("key", key)
+    return _folded(split, ranks).mapInArrow(lean(lambda batches: then(placed(batches))), f"key long, {schema}").withColumnRenamed("key", key)
 
 
 class Vocabulary:

@@ -75,3 +75,22 @@ def bounded(batches, most: int, key: str = "key", text: str = "text"):
         for part in slices(batch, most, text):
             texts = [t.as_py() or "" for t in part.column(text)]
             yield part.column(key).to_pylist(), texts, sum(map(len, texts))
+
+
+def lean(function):
+    """function for mapInArrow; after it the worker, which Spark keeps for other stages, returns freed memory to the system."""
+
+    def run(batches):
+        yield from function(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return run

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table
+from .common import lean, materialise, slices, table
 
 K = 64
 WORDS = 5
@@ -222,14 +222,14 @@ def without_copies(docs: DataFrame) -> DataFrame:
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, th, n_shingles, component_id, kept: one row of each component is kept, and all rows without shingles."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    own = materialise(rows.mapInArrow(_sketches, "doc_id long, th long, n long, cls binary, sketch array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+    own = materialise(rows.mapInArrow(lean(_sketches), "doc_id long, th long, n long, cls binary, sketch array<bigint>").withColumn("row", F.monotonically_increasing_id()))
     classes = materialise(own.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "row")).alias("f"), F.min("n").alias("n"), F.first("sketch").alias("sketch")).select("cls", "n", "sketch", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("th"), F.col("f.row").alias("row")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         places = materialise(wanted.join(classes.select("cls", "first_id", "th"), "cls").select("cls", F.col("first_id").alias("__id"), F.col("th").alias("__th")))
         places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
         texts = rows.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("cls", "text")
-        return materialise(texts.mapInArrow(_sets, "cls binary, s array<bigint>").dropDuplicates(["cls"]))
+        return materialise(texts.mapInArrow(lean(_sets), "cls binary, s array<bigint>").dropDuplicates(["cls"]))
 
     lists = materialise(_lists(classes))
     tried = materialise(_plausible(_pivoted(lists), classes))
