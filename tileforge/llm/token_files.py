@@ -38,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, scratch_dir, table
+from .common import bounded, lean, scratch_dir, table
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
 #: Of each of two generations of words, each entry some 200 bytes; characters of text encoded at a time.
-MEMO_WORDS, STEP_CHARS = 150_000, 2 << 20
+MEMO_WORDS, STEP_CHARS = 260_000, 3 << 20
 #: Texts of these characters are split here, as the tokenizer's own pattern does; others are left to the library whole.
 _KNOWN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-ɏ]*")
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
@@ -209,7 +209,7 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, out: str, key: str =
     pieces = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange(pieces, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(_blocks(tokenizer_path, end_id, block_ids), SCHEMA).write.parquet(out)
+    ordered.mapInArrow(lean(_blocks(tokenizer_path, end_id, block_ids)), SCHEMA).write.parquet(out)
 
 
 def _boundaries(row: dict) -> EliasFano:
