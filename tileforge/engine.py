@@ -18,6 +18,7 @@ import datetime as dt
 import hashlib
 import inspect
 import json
+import os
 import re
 import threading
 import time
@@ -41,6 +42,10 @@ STRATEGIES = ("primary_key", "ordered_key", "blocks")
 POLL_S = 0.1
 #: Threads beyond this many times the default parallelism only queue.
 THREADS_PER_CORE = 4
+#: A caller that gave no sign for so long is taken to have ended, and its claims are free.
+LEASE_S = 60.0
+#: Operators of a plan under which a fused chunk would not be the chunks one by one.
+_NOT_ROW_WISE = re.compile(r"^[\s:+|-]*(Aggregate|Window|Sort|GlobalLimit|LocalLimit|Distinct|Deduplicate|Except|Intersect|Sample|Offset)\b", re.M)
 
 
 def is_transient(error: BaseException) -> bool:
@@ -48,14 +53,29 @@ def is_transient(error: BaseException) -> bool:
     return isinstance(error, TransientChunkError) or "database is locked" in str(error)
 
 
+def _store_path(work_dir: str) -> str:
+    path = re.sub("^file:/+", "/", work_dir)
+    if "://" in path:
+        warnings.warn("runs are forgotten when the driver ends: give a store", stacklevel=3)
+        return ":memory:"
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    return f"{path}.runs.sqlite"
+
+
 class Engine:
-    """work_dir holds chunk outputs; on a cluster it must be in a store that all executors reach."""
+    """work_dir holds chunk outputs; on a cluster it must be in a store that all executors reach.
+
+    The control store is the file <work_dir>.runs.sqlite, unless another is
+    given; where work_dir isn't a local path one must be, to outlast the driver.
+    """
 
     def __init__(self, spark: SparkSession, work_dir: str, store: Store | None = None, transient: Callable[[BaseException], bool] = is_transient):
-        self.spark, self.work_dir, self.store, self.transient = spark, work_dir.rstrip("/"), store or Store(), transient
+        self.spark, self.work_dir, self.transient = spark, work_dir.rstrip("/"), transient
+        self.store = store or Store(_store_path(self.work_dir))
         self.catalog = Catalog(spark)
         self._functions: dict[str, Callable] = {}
         self._views: dict[int, str] = {}
+        self._files: dict[tuple, list] = {}
         self._calculating = threading.Lock()
 
     # ---- registration
@@ -137,7 +157,9 @@ class Engine:
         key = self.catalog.key(table, chunk_by, ordered_key)
         if partition_wise and not table.partition_columns:
             raise EngineError("42809", f"{table_name} isn't partitioned")
-        templates.render(templates.parse(sql_text, table.read(self.spark).columns, alias).query, "x", alias, "true")
+        statement = templates.parse(sql_text, table.read(self.spark).columns, alias)
+        templates.render(statement.query, "x", alias, "true")
+        self._target(statement, table)
         if key:
             keys.assert_usable(table.read(self.spark), key)
         try:
@@ -152,6 +174,44 @@ class Engine:
                 self.store.write("insert into leaf (run_id, leaf_ordinal, leaf_bound, created_at) values (?, ?, ?, ?)", run_id, leaf["leaf_ordinal"], leaf["leaf_bound"], now())
         return self._run(run_id)
 
+    def _target(self, statement: templates.Statement, source: Table) -> Table | None:
+        """The registered table that an INSERT fills; a name without a schema is in the driving table's."""
+        if statement.kind != "insert":
+            return None
+        schema, _, name = statement.target.rpartition(".")
+        target = self.catalog.get(schema or source.schema_name, name)
+        if target.path.rstrip("/") == source.path.rstrip("/") or target.partition_columns:
+            raise EngineError("0A000", "rows go into another table than the driving one, without partition columns")
+        if unknown := [c for c in statement.columns if c not in target.schema.names]:
+            raise EngineError("42703", f"no column {unknown[0]} in {name}")
+        return target
+
+    def _fitted(self, df: DataFrame, statement: templates.Statement, target: Table) -> DataFrame:
+        """df in the columns of the target, by position; columns that aren't named are null."""
+        names = statement.columns or tuple(target.schema.names)
+        if len(names) != len(df.columns):
+            raise EngineError("42601", f"{len(df.columns)} columns for {len(names)} of {target.name}")
+        renamed = df.toDF(*[f"__{n}" for n in names])
+        return renamed.select(*[(F.col(f"`__{f.name}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+
+    def _insert(self, run: dict, number: int, out: str, target: Table) -> None:
+        """Moves a published chunk's files into the target; what an earlier attempt moved stays, as names are the chunk's own."""
+        fs, folder = file_system(self.spark, out)
+        into, _ = file_system(self.spark, target.path)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("part-"):
+                to = path(f"{target.path.rstrip('/')}/{run['uid']}-{number}-{name}")
+                if not into.exists(to) and not fs.rename(status.getPath(), to):
+                    raise EngineError("55000", f"chunk {number} can't be put into {target.name}")
+
+    def _inserted(self, run: dict, target: Table) -> DataFrame:
+        """What the completed chunks of a run put into the target, with the column chunk."""
+        rows = target.read(self.spark).withColumn("chunk", F.regexp_extract(F.col("_metadata.file_name"), f"^{run['uid']}-([0-9]+)-", 1)).where("chunk <> ''")
+        done = self.spark.createDataFrame([(r["boundary_no"],) for r in self.store.rows("select boundary_no from boundary where run_id = ? and completed_at is not null", run["run_id"])], "chunk int")
+        return rows.withColumn("chunk", F.col("chunk").cast("int")).join(F.broadcast(done), "chunk", "left_semi")
+
     def _run(self, run_id: int) -> dict:
         if not (run := self.store.one("select * from run where run_id = ?", run_id)):
             raise EngineError("P0002", f"no run {run_id}")
@@ -176,15 +236,16 @@ class Engine:
 
     def _leaf_filter(self, table: Table, bound: str):
         out = F.lit(True)
-        for column, part in zip(table.partition_columns, bound.split("/"), strict=True):
-            value = part.split("=", 1)[1]
-            out = out & (F.col(column).isNull() if value == "__null__" else F.col(column).cast("string") == value)
+        for column, value in leaves.bound_values(bound):
+            out = out & (F.col(column).isNull() if value is None else F.col(column).cast("string") == value)
         return out
 
     def _calculate(self, run_id: int) -> bool:
         """All boundaries of a run; false if it was paused or cancelled between leaves."""
         with self._calculating:
             run = self._run(run_id)
+            if run["boundaries_calculated_at"] is not None:
+                return True  # another caller was first
             table, key = self._table(run), self._key(run)
             source = table.read(self.spark)
             if not run["partition_wise"]:
@@ -240,7 +301,10 @@ class Engine:
                 source = source.where(self._leaf_filter(table, self._leaf(run, chunk)["leaf_bound"]))
             if chunk["leaf_ordinal"] != chunk["end_leaf"]:
                 end = json.loads(chunk["terminal_boundary_id"])
-            blocks.block_rows(source, int(start[0]), int(end[0])).createOrReplaceTempView(view)
+            known = (run["run_id"], chunk["leaf_ordinal"])
+            if known not in self._files:
+                self._files[known] = blocks.file_blocks(source).collect()
+            blocks.block_rows(source, int(start[0]), int(end[0]), files=self._files[known]).createOrReplaceTempView(view)
             return "true", view
         if chunk["leaf_ordinal"] is not None and (final or chunk["leaf_ordinal"] != chunk["end_leaf"]):
             end, final = json.loads(chunk["terminal_boundary_id"]), True
@@ -249,8 +313,7 @@ class Engine:
         condition = ranges.condition(key, start, end, final, run["alias"], ntz)
         if chunk["leaf_ordinal"] is not None:
             bound = self._leaf(run, chunk)["leaf_bound"]
-            parts = [p.split("=", 1) for p in bound.split("/")]
-            own = [f"`{run['alias']}`.`{c}` is null" if v == "__null__" else f"cast(`{run['alias']}`.`{c}` as string) = {keys.literal('text', v)}" for c, v in parts]
+            own = [f"`{run['alias']}`.`{c}` is null" if v is None else f"cast(`{run['alias']}`.`{c}` as string) = {keys.literal('text', v)}" for c, v in leaves.bound_values(bound)]
             condition = " AND ".join([*own, condition])
         return condition, None
 
@@ -273,7 +336,8 @@ class Engine:
         return statement, templates.render(statement.query, view or self._view(run), run["alias"], condition)
 
     def output_path(self, run: dict) -> str:
-        return f"{self.work_dir}/run={run['run_id']}"
+        """Its name is the run's own, so that no run takes another's chunks for its."""
+        return f"{self.work_dir}/run={run['uid']}"
 
     def _process(self, run_id: int, chunk: dict, group: str) -> int:
         """One attempt: claim, run, publish, complete. Returns rows affected."""
@@ -283,20 +347,32 @@ class Engine:
             self.spark.sparkContext.setJobGroup(group, f"{run['label']} chunk {number}", interruptOnCancel=True)
             out, attempt = f"{self.output_path(run)}/chunk={number}", f"{self.output_path(run)}/_attempt={number}-{uuid.uuid4().hex}"
             fs, target = file_system(self.spark, out)
+            source = self._table(run)
+            statement = templates.parse(run["sql_text"], source.read(self.spark).columns, run["alias"])
+            into = self._target(statement, source)
             if fs.exists(target):  # published by a driver that stopped before it could complete the chunk
-                written = self.spark.read.parquet(out)
-                rows = written.where("__hit").count() if "__hit" in written.columns else written.count()
+                if into:
+                    self._insert(run, number, out, into)
+                    prefix = f"{run['uid']}-{number}-"
+                    rows = into.read(self.spark).where(F.col("_metadata.file_name").startswith(prefix)).count()
+                else:
+                    written = self.spark.read.parquet(out)
+                    rows = written.where("__hit").count() if "__hit" in written.columns else written.count()
             else:
                 _, sql = self._query(run, chunk)
                 df = self.spark.sql(sql)
                 if "__function" in df.columns:
                     df = self._called(df)
+                if into:
+                    df = self._fitted(df, statement, into)
                 seen = Observation()
                 df.observe(seen, F.count(F.when(F.col("__hit"), 1) if "__hit" in df.columns else F.lit(1)).alias("n")).write.parquet(attempt)
-                _, source = file_system(self.spark, attempt)
-                if not fs.rename(source, target):
+                _, made = file_system(self.spark, attempt)
+                if not fs.rename(made, target):
                     raise EngineError("55000", f"chunk {number} can't be published")
                 rows = seen.get["n"]
+                if into:
+                    self._insert(run, number, out, into)
             self.store.complete(run_id, number, group, rows)
             return rows
         except BaseException:
@@ -325,6 +401,9 @@ class Engine:
             self.spark.sparkContext.setJobGroup(group, f"{run['label']} chunks {chunks[0]['boundary_no']} to {chunks[-1]['boundary_no']}", interruptOnCancel=True)
             table = self._table(run)
             statement = templates.parse(run["sql_text"], table.read(self.spark).columns, run["alias"])
+            plan = self.spark.sql(templates.render(statement.query, self._view(run), run["alias"], "true"))._jdf.queryExecution().analyzed().toString()
+            if statement.kind == "insert" or _NOT_ROW_WISE.search(plan):
+                raise EngineError("0A000", "only templates that work row by row, and don't insert, can be fused")
             conditions = [self._chunk(run, c)[0] for c in chunks]
             whole = {**chunks[0], "end_id": chunks[-1]["end_id"], "is_final": chunks[-1]["is_final"]}
             number = "case " + " ".join(f"when {c} then {k['boundary_no']}" for c, k in zip(conditions, chunks, strict=True)) + " end"
@@ -365,10 +444,15 @@ class Engine:
         run = self._run(run_id)
         if run["key_columns"] is None or run["partition_wise"]:
             fuse = 1
-        # chunks that another driver left claimed when it stopped
-        self.store.write("update boundary set claim = null, started_at = null where run_id = ? and completed_at is null and cancelled_at is null", run_id)
+        owner, beaten = uuid.uuid4().hex, 0.0
+        self.store.beat(owner)
+        self.store.expire(run_id, LEASE_S)  # chunks that another driver left claimed when it stopped
         with ThreadPoolExecutor(self.spark.sparkContext.defaultParallelism * THREADS_PER_CORE) as pool:
             while True:
+                if time.time() - beaten > LEASE_S / 6:
+                    beaten = time.time()
+                    self.store.beat(owner)
+                    self.store.expire(run_id, LEASE_S)
                 run = self._run(run_id)
                 stopped = error is not None or run["paused_at"] or run["cancelled_at"]
                 if run["cancelled_at"]:
@@ -384,13 +468,13 @@ class Engine:
                         busy.add(chunk["boundary_no"])
                     if not chunks:
                         break
-                    group = f"tileforge-{run_id}-{chunks[0]['boundary_no']}-{uuid.uuid4().hex[:8]}"
+                    group = f"{owner}/tileforge-{run_id}-{chunks[0]['boundary_no']}-{uuid.uuid4().hex[:8]}"
                     work = inheritable_thread_target(self.spark)(self._process) if len(chunks) == 1 else inheritable_thread_target(self.spark)(self._process_fused)
                     flight[pool.submit(work, run_id, chunks[0] if len(chunks) == 1 else chunks, group)] = (chunks, group)
                 if not flight:
-                    if stopped or time.time() >= wait_until:
+                    if stopped or (time.time() >= wait_until and not self.store.held(run_id) and self.store.next_chunk(run_id, set()) is None):
                         break
-                    time.sleep(max(0.0, min(POLL_S, wait_until - time.time())))
+                    time.sleep(POLL_S)  # a pause that was asked for, or another caller's chunks
                     continue
                 for future in wait(flight, timeout=POLL_S, return_when=FIRST_COMPLETED).done:
                     chunks, _ = flight.pop(future)
@@ -405,6 +489,7 @@ class Engine:
                     else:
                         self.store.record_error(run_id, number, getattr(failure, "code", "XX000"), str(failure)[:4000])
                         error = error or failure
+        self.store.end_lease(owner)
         run = self._run(run_id)
         if run["cancelled_at"]:
             self.store.mark_cancelled(run_id)
@@ -426,6 +511,9 @@ class Engine:
         root = self.output_path(run)
         if not done:
             raise EngineError("55000", "no chunk is complete")
+        table = self._table(run)
+        if into := self._target(templates.parse(run["sql_text"], table.read(self.spark).columns, run["alias"]), table):
+            return self._inserted(run, into)
         return self.spark.read.option("basePath", root).parquet(*[f"{root}/chunk={n}" for n in done])
 
     def table_version(self, label: str) -> DataFrame:
@@ -444,7 +532,7 @@ class Engine:
         if key is None:
             raise EngineError("0A000", "versions of runs by blocks are only their output")
         covered = [f"({self._chunk(run, c)[0]})" for c in self._covered(run)]
-        return base.alias(run["alias"]).where(f"not ({' or '.join(covered)})").unionByName(new.select(*base.columns))
+        return base.alias(run["alias"]).where(f"not coalesce({' or '.join(covered)}, false)").unionByName(new.select(*base.columns))
 
     def _covered(self, run: dict) -> list[dict]:
         """Completed chunks, neighbours of one leaf joined into one range."""
@@ -578,8 +666,8 @@ class Engine:
         leaf = next((r.asDict() for r in found if ordinal in (None, r["leaf_ordinal"])), None)
         if leaf is None:
             raise EngineError("22023", "no such leaf")
-        parts = [p.split("=", 1) for p in leaf["leaf_bound"].split("/")]
-        return leaf, f"(SELECT * FROM {source} WHERE " + " AND ".join(f"`{c}` is null" if v == "__null__" else f"cast(`{c}` as string) = {keys.literal('text', v)}" for c, v in parts) + ")"
+        parts = leaves.bound_values(leaf["leaf_bound"])
+        return leaf, f"(SELECT * FROM {source} WHERE " + " AND ".join(f"`{c}` is null" if v is None else f"cast(`{c}` as string) = {keys.literal('text', v)}" for c, v in parts) + ")"
 
     def explain_migration_chunk(self, sql_text, driving_table_schema_name, driving_table_name, start_values, end_values, is_final, driving_table_alias="t", chunk_by="primary_key", boundary_key_index=None, partition_wise=False, leaf_ordinal=None) -> DataFrame:
         table = self.catalog.get(driving_table_schema_name, driving_table_name)

@@ -1,6 +1,6 @@
 """Chunks by physical place: a block is a fixed span of row positions in a file.
 
-Row counts come from the files' footers, so boundaries need no scan of data.
+Row counts need no column of the files; a run counts them once and keeps them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ ROWS_PER_BLOCK = 128
 
 def file_blocks(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """file, n_blocks and first_block of each file, in byte order of path."""
-    rows = df.groupBy(F.col("_metadata.file_path").alias("file")).agg((F.max("_metadata.row_index") + 1).alias("n_rows"))
+    rows = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_rows"))  # reads no column
     sized = rows.select("file", F.expr(f"(n_rows + {rows_per_block} - 1) div {rows_per_block}").alias("n_blocks"))
     order = Window.orderBy("file")
     return sized.withColumn("first_block", F.coalesce(F.sum("n_blocks").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -30,10 +30,12 @@ def block_boundaries(df: DataFrame, chunk_size: int, rows_per_block: int = ROWS_
     return spark.range(chunks + 1).select(F.col("id").alias("boundary_no"), F.least(F.col("id") * chunk_size, F.lit(total)).alias("block"))
 
 
-def block_rows(df: DataFrame, start: int, end: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """The rows of blocks [start, end); conditions on row positions reach the scan."""
+def block_rows(df: DataFrame, start: int, end: int, rows_per_block: int = ROWS_PER_BLOCK, files: list | None = None) -> DataFrame:
+    """The rows of blocks [start, end); conditions on files and row positions reach the scan. files: rows of file_blocks, if known."""
     keep = F.lit(False)
-    for f in file_blocks(df, rows_per_block).where((F.col("first_block") < end) & (F.col("first_block") + F.col("n_blocks") > start)).collect():
+    for f in file_blocks(df, rows_per_block).collect() if files is None else files:
+        if f["first_block"] >= end or f["first_block"] + f["n_blocks"] <= start:
+            continue
         low = max(start - f["first_block"], 0) * rows_per_block
         high = (end - f["first_block"]) * rows_per_block
         keep = keep | ((F.col("_metadata.file_path") == f["file"]) & (F.col("_metadata.row_index") >= low) & (F.col("_metadata.row_index") < high))

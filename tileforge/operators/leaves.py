@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: What a null partition value is called in a leaf's bound.
+NULL = "__null__"
+
+
+def bound_values(bound: str) -> list[tuple[str, str | None]]:
+    """(column, value) pairs of a leaf's bound."""
+    parts = [p.split("=", 1) for p in bound.split("/")]
+    return [(c, None if v == NULL else unquote(v)) for c, v in parts]
+
+
 def enumerate_leaves(df: DataFrame, columns: list[str]) -> DataFrame:
-    """leaf_ordinal from 1, leaf_bound (col=value/...) in byte order, n_rows."""
-    bound = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__null__"))) for c in columns])
+    """leaf_ordinal from 1, leaf_bound (col=value/...) in byte order, n_rows; values have %, / and a leading _ as %25, %2F and %5F."""
+    escaped = lambda c: F.regexp_replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), "^_", "%5F")
+    bound = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.coalesce(escaped(c), F.lit(NULL))) for c in columns])
     found = df.groupBy(bound.alias("leaf_bound")).agg(F.count("*").alias("n_rows"))
     return found.withColumn("leaf_ordinal", F.row_number().over(Window.orderBy("leaf_bound"))).select("leaf_ordinal", "leaf_bound", "n_rows")
 

@@ -55,9 +55,10 @@ class Statement:
     kind: str
     query: str
     target: str | None = None
+    columns: tuple[str, ...] = ()
 
 
-_INSERT = re.compile(r"^\s*insert\s+into\s+(?:table\s+)?([\w.`]+)\s+(.*)$", re.I | re.S)
+_INSERT = re.compile(r"^\s*insert\s+into\s+(?:table\s+)?([\w.`]+)\s*(?:\(([\w`,\s]+)\)\s*)?\s((?:select|with)\b.*|\(.*)$", re.I | re.S)
 _UPDATE = re.compile(r"^\s*update\s+<driving_table>\s+set\s+(.*?)\s+where\s+(.*)$", re.I | re.S)
 _DELETE = re.compile(r"^\s*delete\s+from\s+<driving_table>\s+where\s+(.*)$", re.I | re.S)
 
@@ -90,7 +91,8 @@ def parse(sql_text: str, columns: list[str], alias: str) -> Statement:
     """
     text = assert_template(sql_text)
     if m := _INSERT.match(text):
-        return Statement("insert", m.group(2), m.group(1).replace("`", ""))
+        columns = tuple(c.strip().strip("`") for c in (m.group(2) or "").split(",") if c.strip())
+        return Statement("insert", m.group(3), m.group(1).replace("`", ""), columns)
     if m := _UPDATE.match(text):
         new = dict(_assignments(m.group(1)))
         if unknown := [c for c in new if c not in columns]:

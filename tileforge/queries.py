@@ -147,11 +147,15 @@ def run_select_ordered_key_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_insert_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """INSERT ... SELECT with a join and an aggregate inside each chunk."""
+    """INSERT ... SELECT with a join and an aggregate inside each chunk; the rows are read from the target."""
     engine, size = _orders(spark, sf_dir)
+    path = f"{engine.work_dir}-totals"
+    spark.createDataFrame([], "segment string, n long, most double").write.parquet(path)
+    engine.register_table(Table("tpch", "totals", path))
     text = f"insert into totals select c.c_mktsegment as segment, count(*) as n, max(t.o_totalprice) as most from <driving_table> join parquet.`{sf_dir}/customer.parquet` c on c.c_custkey = t.o_custkey where <chunking_clause> group by c.c_mktsegment"
     engine.run_migration_chunks(text, "tpch", "orders", "insert", size, 4)
-    return engine.output("insert").select(F.col("chunk").cast("long").alias("chunk"), "segment", "n", "most")
+    own = F.regexp_extract(F.col("_metadata.file_name"), "^[0-9a-f]+-([0-9]+)-", 1).cast("long")
+    return spark.read.parquet(path).select(own.alias("chunk"), "segment", "n", "most")
 
 
 def run_update_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
