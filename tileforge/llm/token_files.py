@@ -130,8 +130,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else re.compile(r"(?!)")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = _is_plain(json.loads(self.tokenizer.to_str()))
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pack = {2: "H", 4: "I"}[self.type.itemsize]
@@ -156,7 +155,7 @@ class _Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        own = [t if self.plain and _KNOWN.fullmatch(t) and not self.added.search(t) else None for t in texts]
+        own = [t if self.plain and _KNOWN.fullmatch(t) and not any(a in t for a in self.added) else None for t in texts]
         split = [_SPLIT.findall(t) if t else [] for t in own]
         coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
         parts = self._ids(coded.dictionary.to_pylist())
