@@ -180,3 +180,112 @@ def test_templates_may_join_aggregate_and_use_windows(engine):
     engine.run_migration_chunks(text, "s", "t", "x", chunk_size=100)
     assert sorted((r.part, r.n, r.r) for r in engine.output("x").collect()) == [(0, 8, 8), (1, 9, 9), (2, 8, 8)]
     assert engine.output("x").agg(F.sum("n")).first()[0] == 25
+
+
+# ---- identity of runs, callers, targets and leaves
+
+
+def _other(engine, tmp_path, store=None):
+    found = Engine(engine.spark, str(tmp_path / "work"), store)
+    for table in engine.catalog._tables.values():
+        found.register_table(table)
+    return found
+
+
+def test_another_engine_keeps_its_chunks_apart(engine, tmp_path):
+    """With the store of the folder the label is known; with another one the chunks of the first run aren't taken."""
+    from tileforge.sources.store import Store
+
+    engine.run_migration_chunks(SELECT, "s", "t", "one", chunk_size=10)
+    again = _other(engine, tmp_path)
+    assert again._latest("one")["total_rows_affected"] == 25 and again.output("one").count() == 25
+    apart = _other(engine, tmp_path, Store())
+    apart.run_migration_chunks(SELECT.replace("upper(t.payload)", "concat('two', t.id)"), "s", "t", "two", chunk_size=10)
+    assert {r.payload for r in apart.output("two").collect()} == {f"two{i}" for i in range(1, 26)}
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_two_callers_of_one_label(engine, tmp_path, same):
+    other = engine if same else _other(engine, tmp_path)
+    failures = []
+
+    def call(one):
+        try:
+            one.run_migration_chunks(SELECT, "s", "t", "x", chunk_size=3, threads=2)
+        except Exception as error:
+            failures.append(error)
+
+    callers = [threading.Thread(target=call, args=(one,)) for one in (engine, other)]
+    for caller in callers:
+        caller.start()
+    for caller in callers:
+        caller.join()
+    assert failures == []
+    assert sorted(r.id for r in engine.output("x").collect()) == list(range(1, 26))
+    assert engine.store.rows("select * from error") == [] and engine._latest("x")["total_rows_affected"] == 25
+
+
+def test_claims_of_a_dead_caller_are_taken_back(engine):
+    engine.run_migration_chunks(SELECT, "s", "t", "x", chunk_size=10, threads=1)
+    engine.archive_migration_run("x")
+    bad = SELECT.replace("upper(t.payload)", "if(t.id = 25, raise_error('planted'), t.payload)")
+    with pytest.raises(Exception, match="planted"):
+        engine.run_migration_chunks(bad, "s", "t", "x", chunk_size=10, max_retries=0)
+    engine.store.write("insert into lease (owner, beat) values ('dead', 0)")
+    engine.store.write("update boundary set claim = 'dead/1', started_at = 'then' where run_id = ? and boundary_no = 2", run_id(engine, "x"))
+    engine.set_migration_run_sql_text("x", SELECT)
+    engine.run_migration_chunks(SELECT, "s", "t", "x")
+    assert sorted(r.id for r in engine.output("x").collect()) == list(range(1, 26))
+
+
+def test_insert_fills_its_target(engine, spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(0, "old", 1)], "id long, payload string, more int").write.parquet(str(tmp_path / "target"))
+    engine.register_table(Table("s", "target", str(tmp_path / "target")))
+    text = "insert into s.target (payload, id) select upper(t.payload), t.id from <driving_table> where <chunking_clause>"
+    move, broken = Engine._insert, []
+
+    def stops_once(self, run, number, out, target):
+        if number == 1 and not broken:
+            broken.append(number)
+            raise RuntimeError("planted")
+        move(self, run, number, out, target)
+
+    monkeypatch.setattr(Engine, "_insert", stops_once)
+    with pytest.raises(RuntimeError, match="planted"):
+        engine.run_migration_chunks(text, "s", "t", "x", chunk_size=10)
+    engine.run_migration_chunks(text, "s", "t", "x")
+    rows = spark.read.parquet(str(tmp_path / "target")).collect()
+    assert sorted((r.id, r.payload, r.more) for r in rows) == [(0, "old", 1), *((i, f"P{i}", None) for i in range(1, 26))]
+    assert engine.output("x").count() == 25 and engine._latest("x")["total_rows_affected"] == 25
+    for wrong, code in (("insert into nowhere select t.id from", "42P01"), ("insert into target (nothing) select t.id from", "42703"), ("insert into t select t.* from", "0A000")):
+        with pytest.raises(EngineError) as error:
+            engine.run_migration_chunks(f"{wrong} <driving_table> where <chunking_clause>", "s", "t", wrong)
+        assert error.value.code == code
+
+
+def test_leaves_of_odd_values(engine, spark, tmp_path):
+    values = [None, "a/b", "__null__", "_x", "100%", "plain"]
+    rows = [(i, values[i % 6]) for i in range(30)]
+    spark.createDataFrame(rows, "id long, leaf string").write.parquet(str(tmp_path / "odd"))
+    engine.register_table(Table("s", "odd", str(tmp_path / "odd"), Key(("id",)), {"by_id": Key(("id",))}, ("leaf",)))
+    for k, options in enumerate(({}, {"chunk_by": "ordered_key", "boundary_key_index": "by_id"}, {"chunk_by": "blocks"})):
+        engine.run_migration_chunks("select t.id, t.leaf from <driving_table> where <chunking_clause>", "s", "odd", f"x{k}", chunk_size=3, partition_wise=True, **options)
+        assert sorted((r.id, r.leaf) for r in engine.output(f"x{k}").collect()) == rows
+    engine.run_migration_chunks("delete from <driving_table> where <chunking_clause> and id % 2 = 0", "s", "odd", "d", chunk_size=3, partition_wise=True)
+    assert sorted((r.id, r.leaf) for r in engine.table_version("d").collect()) == rows[1::2]
+
+
+def test_version_keeps_rows_of_chunks_not_done(engine, spark, tmp_path):
+    rows = [(i, None if i % 4 == 0 else "p") for i in range(20)]
+    spark.createDataFrame(rows, "id long, leaf string").write.parquet(str(tmp_path / "some"))
+    engine.register_table(Table("s", "some", str(tmp_path / "some"), Key(("id",)), {}, ("leaf",)))
+    bad = "update <driving_table> set id = if(t.id = 19, raise_error('planted'), t.id) where <chunking_clause>"
+    with pytest.raises(Exception, match="planted"):
+        engine.run_migration_chunks(bad, "s", "some", "u", chunk_size=5, partition_wise=True, max_retries=0)
+    assert sorted((r.id, r.leaf) for r in engine.table_version("u").collect()) == rows
+
+
+@pytest.mark.parametrize("text", ["select t.id, row_number() over (order by t.id) as n from <driving_table> where <chunking_clause>", "select count(*) as n from <driving_table> where <chunking_clause>", "select t.id from <driving_table> where <chunking_clause> limit 2"])
+def test_only_row_wise_templates_are_fused(engine, text):
+    with pytest.raises(EngineError, match="row by row"):
+        engine.run_migration_chunks(text, "s", "t", "x", chunk_size=5, fuse=4)

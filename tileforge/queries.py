@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,6 +160,76 @@ def run_insert_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(own.alias("chunk"), "segment", "n", "most")
 
 
+_COPY = "select t.o_orderkey, t.o_totalprice from <driving_table> where <chunking_clause>"
+
+
+def _totals(found: DataFrame) -> DataFrame:
+    return found.agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("key_sum"))
+
+
+def run_two_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two threads run one label; every chunk is done once."""
+    engine, size = _orders(spark, sf_dir)
+    with ThreadPoolExecutor(2) as pool:
+        for call in [pool.submit(engine.run_migration_chunks, _COPY, "tpch", "orders", "both", size, 2) for _ in range(2)]:
+            call.result()
+    return _totals(engine.output("both"))
+
+
+def run_paused_and_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that a failing chunk stops, is paused, mended by the set_ controls, resumed and ends; its errors are counted."""
+    engine, size = _orders(spark, sf_dir)
+    bad = _COPY.replace("t.o_totalprice from", "if(t.o_orderkey >= 0, raise_error('planted'), t.o_totalprice) as o_totalprice from")
+    with contextlib.suppress(Exception):
+        engine.run_migration_chunks(bad, "tpch", "orders", "mended", size, 1, max_retries=0)
+    engine.pause_migration_run("mended")
+    engine.run_migration_chunks(bad, "tpch", "orders", "mended")  # only says that it is paused
+    engine.set_migration_run_sql_text("mended", _COPY)
+    engine.set_migration_run_threads("mended", 4)
+    engine.set_migration_run_sleep_ms("mended", 1)
+    engine.set_migration_run_retries("mended", 2, 10)
+    engine.resume_migration_run("mended")
+    engine.run_migration_chunks(_COPY, "tpch", "orders", "mended")
+    errors = engine.migration_errors(engine._latest("mended")["run_id"]).agg(F.count("*").alias("n_errors"))
+    return _totals(engine.output("mended")).crossJoin(errors)  # of one row each
+
+
+def run_cancelled_and_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of a run that is paused before it begins, cancelled, archived and deleted, and of its label's next run."""
+    engine, size = _orders(spark, sf_dir)
+    with contextlib.suppress(Exception):
+        engine.run_migration_chunks(_COPY.replace("t.o_totalprice from", "raise_error('planted') as x from"), "tpch", "orders", "label", size, 1, max_retries=0)
+    first = engine.cancel_migration_run("label")
+    engine.archive_migration_run("label")
+    deleted = engine.delete_archived_migration_runs("label")
+    engine.run_migration_chunks(_COPY, "tpch", "orders", "label", size, 4)
+    left = engine.migration_run_summary("label")
+    return left.select(F.lit(deleted).cast("long").alias("n_deleted"), (F.col("run_id") > first).alias("is_new"), "total_chunks", "completed_boundary_count")
+
+
+def run_leaves_by_ordered_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, size = _orders(spark, sf_dir)
+    engine.run_migration_chunks("select t.o_orderkey, t.o_orderstatus from <driving_table> where <chunking_clause>", "tpch", "orders", "leaves", size, 4, chunk_by="ordered_key", boundary_key_index="by_date", partition_wise=True)
+    return engine.output("leaves").groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("key_sum"))
+
+
+def run_leaves_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, _ = _orders(spark, sf_dir)
+    engine.run_migration_chunks("select t.o_orderkey, t.o_orderstatus from <driving_table> where <chunking_clause>", "tpch", "orders", "leaves", 500, 4, chunk_by="blocks", partition_wise=True)
+    return engine.output("leaves").groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("key_sum"))
+
+
+def explain_function_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of a function run, of one of its chunks and of a stored chunk."""
+    engine, size = _orders(spark, sf_dir)
+    engine.register_function("tpch", "seen", lambda key: None)
+    whole = engine.explain_function_over_table("tpch", "orders", "tpch", "seen", size)
+    one = engine.explain_function_over_table_chunk("tpch", "orders", "tpch", "seen", [1], [100], False)
+    engine.run_migration_chunks(_COPY, "tpch", "orders", "stored", size, 4)
+    stored = engine.explain_migration_run_chunk(engine._latest("stored")["run_id"], 0)
+    return whole.union(one).union(stored).groupBy("o_plan_kind").agg(F.count("*").alias("n"))
+
+
 def run_update_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine, size = _orders(spark, sf_dir)
     engine.run_migration_chunks("update <driving_table> set o_orderpriority = lower(t.o_orderpriority), o_totalprice = 0 where <chunking_clause> and t.o_orderstatus = 'F'", "tpch", "orders", "update", size, 4)
@@ -222,6 +294,7 @@ def progress_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PLAIN = [
     chunk_ranges_conversations, chunk_counts_orders, range_filter_conversations, range_filter_events, block_boundaries_orders, block_rows_orders, leaf_manifest_events, manifest_difference_planted, packed_keys_customer, next_chunk_planted,
+    run_two_callers, run_paused_and_resumed, run_cancelled_and_archived, run_leaves_by_ordered_key, run_leaves_by_blocks, explain_function_kinds,
     run_select_orders, run_select_ordered_key_fused, run_insert_join, run_update_orders, run_delete_orders, run_by_blocks, run_partition_wise, run_function_rows, run_summary_and_progress, explain_kinds, progress_planted,
 ]
 
@@ -273,6 +346,12 @@ select boundary_no, k1, e1, boundary_no = m - 1 as is_final from r where boundar
     "run_select_orders": _CHUNKED.format("o_orderkey") + " select chunk, upper(o_orderpriority) as priority, count(*) as n_rows, sum(o_orderkey)::bigint as key_sum from n group by all",
     "run_select_ordered_key_fused": _CHUNKED.format("o_orderdate, o_orderkey") + " select chunk, count(*) as n_rows, sum(o_orderkey)::bigint as key_sum from n group by all",
     "run_insert_join": _CHUNKED.format("o_orderkey") + " select chunk, c_mktsegment as segment, count(*) as n, max(o_totalprice) as most from n join customer on c_custkey = o_custkey group by all",
+    "run_two_callers": "select count(*) as n_rows, sum(o_orderkey)::bigint as key_sum from orders",
+    "run_paused_and_resumed": "select count(*) as n_rows, sum(o_orderkey)::bigint as key_sum, 1::bigint as n_errors from orders",
+    "run_cancelled_and_archived": "with s as (select count(*) as n, (count(*) + 11) // 12 as size from orders) select 1::bigint as n_deleted, true as is_new, ((n + size - 1) // size)::bigint as total_chunks, ((n + size - 1) // size)::bigint as completed_boundary_count from s",
+    "run_leaves_by_ordered_key": "select o_orderstatus, count(*) as n_rows, sum(o_orderkey)::bigint as key_sum from orders group by all",
+    "run_leaves_by_blocks": "select o_orderstatus, count(*) as n_rows, sum(o_orderkey)::bigint as key_sum from orders group by all",
+    "explain_function_kinds": "select * from (values ('boundary_population', 1::bigint), ('chunk_non_final', 3::bigint), ('chunk_final', 1::bigint)) v(o_plan_kind, n)",
     "run_update_orders": "select o_orderstatus, case when o_orderstatus = 'F' then lower(o_orderpriority) else o_orderpriority end as o_orderpriority, count(*) as n, max(case when o_orderstatus = 'F' then 0 else o_totalprice end)::double as most from orders group by all",
     "run_delete_orders": "select o_orderstatus, count(*) as n, sum(o_orderkey)::bigint as key_sum from orders where not coalesce(o_totalprice > 250000, false) group by all",
     "run_by_blocks": "select count(*) as n_rows, sum(o_orderkey)::bigint as key_sum from orders",
