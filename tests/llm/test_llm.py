@@ -104,6 +104,14 @@ def test_quality_rules(spark, odd, empty):
     assert found[1].kept and found[2].kept and not found[3].kept and found[2].clean_text == good and found[2].n_bad_lines == 2
 
 
+def test_repeated_triples_whose_hashes_agree_in_part(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "_MASK", "shiftleft(1L, 62) - 1L")  # two bits of a hash are left
+    texts = [*(words(60, 40 + i, 12) for i in range(6)), words(300, 50, 5000), "a b c a b c", "a b c", ""]
+    rows = quality_rules.base_counts(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert {r.doc_id: r.n_repeat_words for r in rows} == {i: base_counts(t)[-1] for i, t in enumerate(texts)}
+    assert any(r.n_repeat_words for r in rows[:6])
+
+
 # ---- 7
 
 

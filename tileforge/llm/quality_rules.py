@@ -53,6 +53,8 @@ class LineRules:
 
 
 _SYMBOLS = "[^#*$%&|<>]+"
+#: The low bits of a hash that give way to its position.
+_MASK = "shiftleft(1L, cast(ceil(log2(size(__words) + 1)) as int)) - 1L"
 
 
 def _count(text: str, keep_not: str) -> str:
@@ -88,9 +90,11 @@ def clean_lines(df: DataFrame, rules: LineRules = LineRules(), text: str = "text
 def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
-    Repeated word triples are found by sorting, within the row, the hashes of
-    all triples with their positions in the low bits; equal neighbours are
-    repeats. This takes n log n steps for n words, however often they repeat.
+    Word triples are told by 64-bit hashes. Where some repeat, they are found by
+    sorting, within the row, the hashes with their positions in the low bits;
+    equal neighbours are repeats. Where two different hashes agree in the bits
+    that are left, the row's hashes are sorted whole, beside their positions.
+    This takes n log n steps for n words, however often they repeat.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("__words", F.regexp_extract_all(body, F.lit(SPACED_WORD), F.lit(0)))
@@ -102,16 +106,20 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": F.char_length(F.regexp_replace(body, _SYMBOLS, "")).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "__triples": F.expr("if(size(__words) < 3, cast(array() as array<bigint>), transform(sequence(0, size(__words) - 3), i -> xxhash64(__words[i], __words[i + 1], __words[i + 2])))"),
-            "__mask": F.expr("shiftleft(1L, cast(ceil(log2(size(__words) + 1)) as int)) - 1L"),
+            "__mask": F.expr(_MASK),
         }
     )
-    out = out.withColumn("__sorted", F.expr("sort_array(transform(__triples, (h, i) -> (h & ~__mask) | i))"))
+    out = out.withColumn("__distinct", F.size(F.array_distinct("__triples")))
+    packed = "sort_array(transform(__triples, (h, i) -> (h & ~__mask) | i))"
+    whole = "transform(sort_array(transform(__triples, (h, i) -> struct(h, cast(i as bigint) as i))), x -> x.i)"
+    parted = "size(array_distinct(transform(__triples, h -> h & ~__mask))) = __distinct"
+    out = out.withColumn("__sorted", F.expr(f"case when __distinct = size(__triples) then cast(array() as array<bigint>) when {parted} then {packed} else {whole} end"))
     here = "element_at(__triples, cast((x & __mask) as int) + 1)"
     other = lambda j: f"element_at(__triples, cast((__sorted[{j}] & __mask) as int) + 1)"
     repeated = f"filter(__sorted, (x, j) -> (j > 0 and {other('j - 1')} = {here}) or (j < size(__sorted) - 1 and {other('j + 1')} = {here}))"
     out = out.withColumn("__repeated", F.expr(repeated))
     covered = "size(array_distinct(flatten(transform(__repeated, x -> array(x & __mask, (x & __mask) + 1, (x & __mask) + 2)))))"
-    return out.withColumn("n_repeat_words", F.expr(f"if(size(__repeated) = 0, 0, {covered})").cast("long")).drop("__words", "__lines", "__triples", "__mask", "__sorted", "__repeated")
+    return out.withColumn("n_repeat_words", F.expr(f"if(size(__repeated) = 0, 0, {covered})").cast("long")).drop("__words", "__lines", "__triples", "__mask", "__distinct", "__sorted", "__repeated")
 
 
 def base_failed() -> Column:
