@@ -154,6 +154,20 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert {r.doc_id: r.n_hit for r in decontaminate.find_hits(docs, bench).collect()} == {1: 25, 2: 0}
 
 
+def test_decontamination_by_items_of_few_words(spark):
+    bench = spark.createDataFrame([(1, "canary"), (2, "two words"), (3, "Canary")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a CANARY, canary"), (2, "words two words"), (3, "canaries"), (4, None), (5, "canary")], SCHEMA)
+    found = decontaminate.find_hits(docs, bench).collect()
+    assert {r.doc_id: (r.n_hit, r.item_ids) for r in found} == {1: (2, ["1", "3"]), 2: (2, ["2"]), 3: (0, []), 4: (0, []), 5: (1, ["1", "3"])}
+
+
+def test_decontamination_broadcasts_by_bytes(spark, monkeypatch):
+    windows = decontaminate.windows_of(spark.createDataFrame([(i, words(11, 1)) for i in range(50)], "item_id long, text string"))
+    assert decontaminate._can_broadcast(windows)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 500)
+    assert not decontaminate._can_broadcast(windows)
+
+
 # ---- 4
 
 

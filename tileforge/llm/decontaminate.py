@@ -3,12 +3,13 @@
 Words are runs of a-z, 0-9 and characters from U+0080 up, after lower-casing
 A-Z. Every 10 consecutive words of a benchmark item are a window (an item with
 fewer words is one window). Every place of every document is held against a
-bit set of the windows' first two words; where that passes, the window's words
-are hashed and looked up in the hash set; what is found is verified word by
-word.
+bit set of the windows' first two words (or their one); where that passes, the
+window's words are hashed and looked up in the hash set; what is found is
+verified word by word.
 
 The hash set is broadcast where the benchmark's windows are at most
-`BROADCAST_WINDOWS`; a larger benchmark is joined by shuffling the hashes.
+`BROADCAST_WINDOWS` and, with their items' ids, some `BROADCAST_BYTES`; a larger
+benchmark is joined by shuffling the hashes.
 Documents are matched with their hits by row key (doc_id and text hash), so
 repeated rows get equal results.
 
@@ -22,13 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 WINDOW = 10
-#: About 100 bytes each with the join's overhead.
 BROADCAST_WINDOWS = 1_000_000
-#: Of the bit set, which is a literal; with more windows than this has room for, more places pass.
-MAX_BITS = 1 << 19
+#: Of the windows' words and item ids, with what a row and an array take beside them.
+BROADCAST_BYTES = 128 << 20
+#: Of the bit set, which is a literal: 8 for each of a million windows. With many more, more places pass.
+MAX_BITS = 1 << 23
 #: The characters of words once A-Z are lower-cased. Java matches a class of a few ranges ten times faster than the complement of the others.
 _IN_WORD = r"0-9a-z\x{80}-\x{10FFFF}"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,30 +52,36 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.withColumn("__hash", F.expr("case __len " + " ".join(f"when {n} then {_gram_hash('__window', '0', n)}" for n in range(1, window + 1)) + " end"))
 
 
-def _first_pair_filter(windows: DataFrame, n: int, count: int) -> str:
+def _first_words_filter(windows: DataFrame, n: int, count: int) -> str:
     """SQL that says whether a window of n words from place i of w can be one of the windows; true too often, never false wrongly."""
+    first = min(n, 2)
     bits = min(max(1 << (32 * count).bit_length(), 1 << 12), MAX_BITS)
-    found = windows.where(F.col("__len") == n).select(F.expr(f"pmod({_gram_hash('__window', '0', 2)}, {bits}L)").alias("b")).distinct()
+    places = windows.where(F.col("__len") == n).select(F.expr(f"pmod({_gram_hash('__window', '0', first)}, {bits}L)").alias("b"))
     packed = [0] * (bits // 64)
-    for row in found.collect():
-        packed[row["b"] // 64] |= 1 << (row["b"] % 64)
-    longs = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in packed)
-    return f"aggregate(array(pmod({_gram_hash('w', 'i', 2)}, {bits}L)), false, (z, b) -> (shiftrightunsigned(from_json('[{longs}]', 'array<bigint>')[b div 64], cast(b % 64 as int)) & 1L) = 1L)"
+    for row in places.groupBy(F.expr("b div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("word")).collect():
+        packed[row["at"]] = row["word"]
+    longs = ",".join(map(str, packed))
+    return f"aggregate(array(pmod({_gram_hash('w', 'i', first)}, {bits}L)), false, (z, b) -> (shiftrightunsigned(from_json('[{longs}]', 'array<bigint>')[b div 64], cast(b % 64 as int)) & 1L) = 1L)"
+
+
+def _can_broadcast(windows: DataFrame) -> bool:
+    text = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.octet_length(x.cast("string")) + 16)
+    size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(text("__window") + text("__items") + 100), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= BROADCAST_WINDOWS and size["bytes"] <= BROADCAST_BYTES
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_hit, hits (sorted word positions) and item_ids (those with a window in the text)."""
-    windows = windows_of(items, window).cache()
+    windows = materialise(windows_of(items, window))
     sizes = {r["__len"]: r["n"] for r in windows.groupBy("__len").agg(F.count("*").alias("n")).collect()}
+    small = _can_broadcast(windows)
     keyed = docs.withColumns({"__text_hash": F.xxhash64("text"), "__doc": F.col("doc_id")})
     split = keyed.select("__doc", "__text_hash", words_of().alias("w"))
     hits = None
     for n in sorted(sizes):
         own = windows.where(F.col("__len") == n).select("__hash", "__window", "__items")
-        own = F.broadcast(own) if sum(sizes.values()) <= BROADCAST_WINDOWS else own
-        places = f"sequence(0, size(w) - {n})"
-        if n > 1:
-            places = f"filter({places}, i -> {_first_pair_filter(windows, n, sizes[n])})"
+        own = F.broadcast(own) if small else own
+        places = f"filter(sequence(0, size(w) - {n}), i -> {_first_words_filter(windows, n, sizes[n])})"
         places = f"if(size(w) < {n}, array(), transform({places}, i -> struct(i as pos, {_gram_hash('w', 'i', n)} as hash)))"
         cut = split.select("__doc", "__text_hash", F.explode(F.expr(places)).alias("x")).select("__doc", "__text_hash", F.col("x.pos").alias("__pos"), F.col("x.hash").alias("__hash"))
         one = cut.join(own, "__hash").select("__doc", "__text_hash", F.struct("__pos", "__window", "__items").alias("__hit"))
