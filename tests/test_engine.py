@@ -289,3 +289,77 @@ def test_version_keeps_rows_of_chunks_not_done(engine, spark, tmp_path):
 def test_only_row_wise_templates_are_fused(engine, text):
     with pytest.raises(EngineError, match="row by row"):
         engine.run_migration_chunks(text, "s", "t", "x", chunk_size=5, fuse=4)
+
+
+def test_leaves_are_calculated_side_by_side_and_numbered_in_order(engine, tmp_path, monkeypatch):
+    at_once, most, lock, real = [0], [0], threading.Lock(), Engine._starts
+
+    def slow(self, source, key, chunk_size):
+        with lock:
+            at_once[0] += 1
+            most[0] = max(most[0], at_once[0])
+        time.sleep(1)
+        try:
+            return real(self, source, key, chunk_size)
+        finally:
+            with lock:
+                at_once[0] -= 1
+
+    monkeypatch.setattr(Engine, "_starts", slow)
+    engine.run_migration_chunks(SELECT, "s", "parts", "x", chunk_size=4, threads=3, partition_wise=True)
+    assert most[0] > 1
+    found = engine.migration_boundaries(run_id(engine, "x")).orderBy("boundary_no").collect()
+    assert [r.leaf_ordinal for r in found] == [1, 1, 2, 2, 2, 3, 3, 3]
+    assert sorted(r.id for r in engine.output("x").collect()) == list(range(1, 26))
+
+
+def test_leaf_claims_of_a_dead_caller_are_taken_back(engine, monkeypatch):
+    def fails(self, *_):
+        raise EngineError("XX001", "planted")
+
+    with monkeypatch.context() as m:
+        m.setattr(Engine, "_starts", fails)
+        with pytest.raises(EngineError, match="planted"):
+            engine.run_migration_chunks(SELECT, "s", "parts", "x", chunk_size=4, partition_wise=True)
+    leaves = engine.migration_run_leaves(run_id(engine, "x")).collect()
+    assert [(r.state, r.error_sqlstate) for r in leaves] == [("failed", "XX001"), ("pending", None), ("pending", None)]
+    store = engine.store
+    store.beat("live")
+    assert store.claim_leaf(run_id(engine, "x"), "live", 60)["leaf_ordinal"] == 2
+    assert store.claim_leaf(run_id(engine, "x"), "dead", 60)["leaf_ordinal"] == 3  # an owner without a lease
+    assert store.claim_leaf(run_id(engine, "x"), "other", 60)["leaf_ordinal"] == 3
+    store.end_lease("live")
+    engine.run_migration_chunks(SELECT, "s", "parts", "x", chunk_size=4, partition_wise=True)
+    assert sorted(r.id for r in engine.output("x").collect()) == list(range(1, 26))
+    assert store.claim_leaf(run_id(engine, "x"), "late", 60) is None
+
+
+def test_a_changed_leaf_is_named(engine, spark, tmp_path):
+    with pytest.raises(Exception, match="planted"):
+        engine.run_migration_chunks(SELECT.replace("upper(t.payload)", "raise_error('planted')"), "s", "parts", "x", chunk_size=4, partition_wise=True, max_retries=0)
+    spark.createDataFrame([(100, "new")], "id long, payload string").write.mode("append").parquet(str(tmp_path / "parts" / "part=1"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        with pytest.raises(EngineError, match="leaf part=1 isn't as the manifest") as error:
+            engine.run_migration_chunks(SELECT, "s", "parts", "x", chunk_size=4, partition_wise=True)
+    assert error.value.code == "55000"
+
+
+def test_every_leaf_has_the_key(engine, spark, tmp_path):
+    path = str(tmp_path / "mixed")
+    spark.createDataFrame([(1, 10)], "id long, at int").write.parquet(f"{path}/part=1")
+    spark.createDataFrame([(2, "x")], "id long, other string").write.parquet(f"{path}/part=2")
+    schema = "id long, at int, other string, part int"
+    engine.register_table(Table("s", "mixed", path, Key(("id",)), {"by_at": Key(("at",))}, ("part",), spark.createDataFrame([], schema).schema))
+    engine.run_migration_chunks("select t.id from <driving_table> where <chunking_clause>", "s", "mixed", "by_id", chunk_size=4, partition_wise=True)
+    assert sorted(r.id for r in engine.output("by_id").collect()) == [1, 2]
+    with pytest.raises(EngineError) as error:
+        engine._assert_leaf(engine.catalog.get("s", "mixed"), {"leaf_bound": "part=2", "fingerprint": engine.migration_run_leaves(run_id(engine, "by_id")).collect()[1].fingerprint}, engine.catalog.get("s", "mixed").read(spark).where("part = 2"), engine.catalog.get("s", "mixed").ordered_keys["by_at"])
+    assert error.value.code == "0A000"
+
+
+def test_blocks_need_plain_parquet(engine, tmp_path):
+    (tmp_path / "t" / "_delta_log").mkdir()
+    with pytest.raises(EngineError) as error:
+        engine.run_migration_chunks(SELECT, "s", "t", "x", chunk_by="blocks")
+    assert error.value.code == "42809"

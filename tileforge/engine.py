@@ -35,7 +35,7 @@ from tileforge.errors import EngineError, TransientChunkError
 from tileforge.functions import checks
 from tileforge.operators import blocks, boundaries, inspection, keys, leaves, ranges
 from tileforge.plans import templates
-from tileforge.sources.catalog import Catalog, Table, file_system, fingerprint
+from tileforge.sources.catalog import Catalog, Table, assert_plain, file_system, fingerprint
 from tileforge.sources.store import Store, now
 
 STRATEGIES = ("primary_key", "ordered_key", "blocks")
@@ -155,6 +155,8 @@ class Engine:
             return run
         table = self.catalog.get(schema_name, table_name)
         key = self.catalog.key(table, chunk_by, ordered_key)
+        if key is None:
+            assert_plain(self.spark, table)
         if partition_wise and not table.partition_columns:
             raise EngineError("42809", f"{table_name} isn't partitioned")
         statement = templates.parse(sql_text, table.read(self.spark).columns, alias)
@@ -169,9 +171,9 @@ class Engine:
                 raise
             return self.store.active(label)  # another caller was first
         if partition_wise:
-            found = leaves.enumerate_leaves(table.read(self.spark), list(table.partition_columns)).collect()
+            found = leaves.manifest(table.read(self.spark), list(table.partition_columns)).collect()
             for leaf in found:
-                self.store.write("insert into leaf (run_id, leaf_ordinal, leaf_bound, created_at) values (?, ?, ?, ?)", run_id, leaf["leaf_ordinal"], leaf["leaf_bound"], now())
+                self.store.write("insert into leaf (run_id, leaf_ordinal, leaf_bound, fingerprint, created_at) values (?, ?, ?, ?, ?)", run_id, leaf["leaf_ordinal"], leaf["leaf_bound"], leaf["fingerprint"], now())
         return self._run(run_id)
 
     def _target(self, statement: templates.Statement, source: Table) -> Table | None:
@@ -230,6 +232,8 @@ class Engine:
         if stored and (live.columns, live.kinds) != (stored.columns, stored.kinds):
             raise EngineError("55000", "the key has changed since the run began")
         if fingerprint(self.spark, table.path) != run["fingerprint"]:
+            if run["partition_wise"]:
+                self._assert_tree(run, table)  # says which leaf it is
             raise EngineError("55000" if run["partition_wise"] else "22023", "the table's files have changed since the run began")
 
     # ---- boundaries
@@ -251,28 +255,65 @@ class Engine:
             if not run["partition_wise"]:
                 self.store.add_boundaries(run_id, [(n, k, None) for n, k in self._starts(source, key, run["chunk_size"])])
                 return True
-            stored = self.store.rows("select * from leaf where run_id = ? order by leaf_ordinal", run_id)
             self._assert_tree(run, table)
-            for leaf in stored:
-                run = self._run(run_id)
-                if run["paused_at"] or run["cancelled_at"]:
-                    return False
-                if leaf["state"] != "calculated":
-                    self._calculate_leaf(run, table, key, leaf)
+            if not self._calculate_leaves(run, table, key):
+                return False
             self._assert_tree(run, table)
             self.store.finish_leaves(run_id)
             return True
 
-    def _calculate_leaf(self, run: dict, table: Table, key, leaf: dict) -> None:
-        where = (run["run_id"], leaf["leaf_ordinal"])
-        self.store.write("update leaf set state = 'calculating', error_sqlstate = null, error_message = null where run_id = ? and leaf_ordinal = ?", *where)
+    def _calculate_leaves(self, run: dict, table: Table, key) -> bool:
+        """Up to `threads` leaves at a time, beside other callers; false if the run was paused or cancelled before the last."""
+        flight: set[Future] = set()
+        run_id, error, owner, beaten = run["run_id"], None, uuid.uuid4().hex, 0.0
+        self.store.reopen_leaves(run_id)
+        with ThreadPoolExecutor(self.spark.sparkContext.defaultParallelism * THREADS_PER_CORE) as pool:
+            while True:
+                if time.time() - beaten > LEASE_S / 6:
+                    beaten = time.time()
+                    self.store.beat(owner)
+                run = self._run(run_id)
+                stopped = error is not None or run["paused_at"] or run["cancelled_at"]
+                while not stopped and len(flight) < run["threads"] and (leaf := self.store.claim_leaf(run_id, owner, LEASE_S)):
+                    flight.add(pool.submit(inheritable_thread_target(self.spark)(self._calculate_leaf), run, table, key, leaf, owner))
+                if not flight:
+                    if stopped or not self.store.open_leaves(run_id):
+                        break
+                    time.sleep(POLL_S)  # leaves that another caller calculates
+                    continue
+                done = wait(flight, timeout=POLL_S, return_when=FIRST_COMPLETED).done
+                flight -= done
+                error = next((f.exception() for f in done if f.exception()), error)
+        self.store.end_lease(owner)
+        if error is not None:
+            raise error
+        return not stopped or not self.store.open_leaves(run_id)
+
+    def _calculate_leaf(self, run: dict, table: Table, key, leaf: dict, owner: str) -> None:
         try:
-            found = self._starts(table.read(self.spark).where(self._leaf_filter(table, leaf["leaf_bound"])), key, run["chunk_size"])
-            self.store.add_leaf(*where, [k for _, k in found])
+            source = table.read(self.spark).where(self._leaf_filter(table, leaf["leaf_bound"]))
+            self._assert_leaf(table, leaf, source, key)
+            found = self._starts(source, key, run["chunk_size"])
+            self.store.add_leaf(run["run_id"], leaf["leaf_ordinal"], [k for _, k in found])
         except Exception as error:
-            self.store.write("update leaf set state = 'failed', error_sqlstate = ?, error_message = ?, updated_at = ? where run_id = ? and leaf_ordinal = ?", getattr(error, "code", "XX000"), str(error)[:2000] or "no message", now(), *where)
+            self.store.fail_leaf(run["run_id"], leaf["leaf_ordinal"], owner, getattr(error, "code", "XX000"), str(error)[:2000])
             raise
 
+    def _assert_leaf(self, table: Table, leaf: dict, source: DataFrame, key) -> None:
+        """The leaf's files are those of the manifest, and each has the key's columns in their kinds."""
+        columns = list(table.partition_columns)
+        live = leaves.manifest(source, columns).first()
+        if live is None or live["fingerprint"] != leaf["fingerprint"]:
+            raise EngineError("55000", f"leaf {leaf['leaf_bound']} isn't as the manifest has it")
+        if key is None:
+            return
+        files = [r["file"] for r in leaves.leaf_files(source, columns).collect()]
+        own = {f.name: f.dataType for f in self.spark.read.option("mergeSchema", "true").parquet(*files).schema}  # Spark reads the footers as a job
+        for column, kind in zip(key.columns, key.kinds, strict=True):
+            if column in own and keys.kind_of(own[column], "uuid" if kind == "uuid" else None) == kind or column not in own and column in columns:
+                continue
+            raise EngineError("0A000", f"leaf {leaf['leaf_bound']} has no matching key column {column}")
+
     def _starts(self, source: DataFrame, key, chunk_size: int) -> list[tuple[int, list[str]]]:
         """Boundary numbers and keys as text: one for each chunk, and the terminal."""
         if key is None:
@@ -282,8 +323,8 @@ class Engine:
 
     def _assert_tree(self, run: dict, table: Table) -> None:
         """Live leaves are those of the manifest."""
-        live = {(r["leaf_ordinal"], r["leaf_bound"]) for r in leaves.enumerate_leaves(table.read(self.spark), list(table.partition_columns)).collect()}
-        stored = {(r["leaf_ordinal"], r["leaf_bound"]) for r in self.store.rows("select leaf_ordinal, leaf_bound from leaf where run_id = ?", run["run_id"])}
+        live = {(r["leaf_ordinal"], r["leaf_bound"], r["fingerprint"]) for r in leaves.manifest(table.read(self.spark), list(table.partition_columns)).collect()}
+        stored = {(r["leaf_ordinal"], r["leaf_bound"], r["fingerprint"]) for r in self.store.rows("select leaf_ordinal, leaf_bound, fingerprint from leaf where run_id = ?", run["run_id"])}
         if difference := sorted(live ^ stored):
             raise EngineError("55000", f"leaf {difference[0][1]} isn't as the manifest has it")
 
@@ -562,13 +603,13 @@ class Engine:
 
     def pause_migration_run(self, label: str) -> int | None:
         if run_id := self._active_id(label, True):
-            self.store.write("update run set paused_at = coalesce(paused_at, ?) where run_id = ?", now(), run_id)
+            self.store.write("update run set paused_at = coalesce(paused_at, ?), updated_at = ? where run_id = ?", now(), now(), run_id)
         return run_id
 
     def resume_migration_run(self, label: str) -> int | None:
         """Clears the pause; run_migration_chunks with the label goes on."""
         if run_id := self._active_id(label, True):
-            self.store.write("update run set paused_at = null where run_id = ?", run_id)
+            self.store.write("update run set paused_at = null, updated_at = ? where run_id = ?", now(), run_id)
         return run_id
 
     def cancel_migration_run(self, label: str) -> int | None:
@@ -579,7 +620,7 @@ class Engine:
     def archive_migration_run(self, label: str) -> int | None:
         if run_id := self._active_id(label):
             self.store.cancel_run(run_id)
-            self.store.write("update run set archived_at = ? where run_id = ? and archived_at is null", now(), run_id)
+            self.store.write("update run set archived_at = ?, updated_at = ? where run_id = ? and archived_at is null", now(), now(), run_id)
         return run_id
 
     def delete_archived_migration_runs(self, label: str | None = None, limit: int = 1000) -> int:

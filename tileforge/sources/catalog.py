@@ -49,6 +49,18 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
 
 
+#: Folders by which table formats with a log of their own are known.
+_LOGS = ("_delta_log", ".hoodie", "metadata")
+
+
+def assert_plain(spark: SparkSession, table: Table) -> None:
+    """The table is bare Parquet: files that a log has replaced would count as rows by their place."""
+    fs, root = file_system(spark, table.path)
+    for log in _LOGS:
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(root, log)):
+            raise EngineError("42809", f"blocks need plain Parquet, but {table.name} has {log}")
+
+
 class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
