@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -81,6 +82,15 @@ def test_shards_are_even_and_slots_gapless(spark, odd, empty, tmp_path):
     assert {(r.doc_id, r["size"], r.text_crc32) for r in rows} == {(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in ODD}
 
 
+def test_shards_equal_their_sql(spark, odd, tmp_path):
+    more = spark.createDataFrame([(None, "no id"), (None, None), (4, "one"), (4, "another")], SCHEMA)
+    path = saved(spark, tmp_path, documents=odd.select("doc_id", "text").union(more))
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    rows = sorted(map(str, duck.execute(sharding.op9_sql()).fetchall()))
+    assert rows == sorted(str(tuple(r)) for r in sharding.op9_feistel_shards(spark, path).collect())
+
+
 # ---- 8
 
 

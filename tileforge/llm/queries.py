@@ -29,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_licence_scan": licences.op4_sql(),
         "op7_benchmark_leaks": decontaminate.OP7_SQL,
         "op8_line_rules": quality_rules.op8_sql(),
+        "op9_feistel_shards": sharding.op9_sql(),
     }

@@ -149,3 +149,35 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = shard(rows, ["doc_id", "text_crc32", "size"], 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_sql(shards: int = 24, seed: int = 20261) -> str:
+    """Row numbers by a window, then the permutation's rounds as steps of a recursive query that walks until it is below n."""
+    state = "select row_no, k, n, a, b, x // b as l, x % b as r from walk where k = 0 or x >= n"
+    for i, key in enumerate(_keys(seed)):
+        source, change = ("l", "l, (r + m) % b as r") if i % 2 else ("r", "(l + m) % a as l, r")
+        mixed = f"select *, ({source} % {_P} * {_M1} + {key}) % {_P} as y from ({state})"
+        mixed = f"select *, xor(y, y // 65536) * {_M2} % {_P} as z from ({mixed})"
+        mixed = f"select *, xor(z, z // 4096) * {_M1} % {_P} as m from ({mixed})"
+        state = f"select row_no, k, n, a, b, {change} from ({mixed})"
+    return f"""
+with recursive crc_steps as (
+    select i, 0 as k, i as c from (select unnest(range(256)) as i)
+    union all select i, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from crc_steps where k < 8
+), crc_table as (
+    select list(c order by i) as t from crc_steps where k = 8
+), bytes as (
+    select doc_id, row_number() over () as id, strlen(coalesce(text, '')) + 8 as size, [('0x' || h)::bigint for h in regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] as a from documents
+), docs as (
+    select doc_id, id, size, xor(list_reduce(list_prepend(4294967295::bigint, a), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) as text_crc32 from bytes, crc_table
+), sides as (
+    select n, a, greatest(1, (n + a - 1) // a) as b from (select n, greatest(1, floor(sqrt(greatest(n - 1, 0)))::bigint + 1) as a from (select count(*) as n from docs))
+), numbered as (
+    select *, row_number() over (order by doc_id nulls first, text_crc32, size) - 1 as row_no from docs
+), walk as (
+    select row_no, row_no as x, 0 as k, n, a, b from numbered, sides
+    union all select row_no, l * b + r, k + 1, n, a, b from ({state})
+)
+select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'rows' as law, (x % {shards})::int as shard, (x // {shards})::bigint as slot, null::int as grown_shard
+from numbered join (select row_no, x from walk where k > 0 and x < n) using (row_no)
+"""
