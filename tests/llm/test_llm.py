@@ -442,6 +442,19 @@ def test_near_duplicates_go_by_row(spark):
     assert sorted(left, key=str) == sorted([(1, a), (2, b), (3, c), (None, last[0]), (None, None), (None, None), (4, "")], key=str)
 
 
+@pytest.mark.parametrize("bits", [near_dup.MAX_BITS, 64])
+def test_near_duplicates_broadcast_one_row(spark, monkeypatch, bits):
+    """What goes to all executors by way of the driver is one row of bits, however many texts are fetched; or nothing, with more keys than the bits tell apart."""
+    sent = []
+    broadcast = F.broadcast
+    monkeypatch.setattr(near_dup.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    monkeypatch.setattr(near_dup, "MAX_BITS", bits)
+    rows = [(3 * k + j if k else None, f"{words(40, k, 5000)} end{j}") for k in range(40) for j in range(2)]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i and i - i % 3 for i, _ in rows}
+    assert sum(r.kept for r in found) == 40 and all(n == 1 for n in sent)
+
+
 # ---- 1 and 3
 
 

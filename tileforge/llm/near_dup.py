@@ -61,8 +61,8 @@ BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 200_000, 4096
 MEMO_WORDS = 150_000
 #: Bytes of text hashed at a time.
 STEP_BYTES = 2 << 20
-#: Rows of (id, text hash) that may be broadcast to fetch texts, some 40 bytes each.
-BROADCAST_ROWS = 1_000_000
+#: Bits for each key of a filter, and the most in all (8 MB); a filter of more than a quarter as many keys isn't made.
+KEY_BITS, MAX_BITS = 16, 1 << 26
 
 
 class _Shingler:
@@ -97,6 +97,11 @@ class _Shingler:
         return np.unique(mixed.view(np.int64))
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    """What tells a class; texts without shingles are in none."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _sketches(batches):
     shingles = _Shingler()
     for batch in (part for whole in batches for part in slices(whole, STEP_BYTES)):
@@ -104,7 +109,7 @@ def _sketches(batches):
         for text in batch.column("text"):
             s = shingles(text.as_py())
             sizes.append(len(s))
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            keys.append(_digest(s))
             sketches.append(s[:K])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "th", "n", "cls", "sketch"])
 
@@ -112,7 +117,8 @@ def _sketches(batches):
 def _sets(batches):
     shingles = _Shingler()
     for batch in (part for whole in batches for part in slices(whole, STEP_BYTES)):
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([shingles(t.as_py()) for t in batch.column("text")], pa.list_(pa.int64()))], ["cls", "s"])
+        sets = [shingles(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "s"])
 
 
 def _lists(classes: DataFrame, k: int = K, least_shared: int = LEAST_SHARED) -> DataFrame:
@@ -125,6 +131,26 @@ def _lists(classes: DataFrame, k: int = K, least_shared: int = LEAST_SHARED) ->
     return kept.select("cls", "n", F.explode(F.expr("slice(x, 1, keep)")).alias("y")).select(F.col("y.v").alias("v"), "cls", "n")
 
 
+def _likely(df: DataFrame, columns: list[str], wanted: DataFrame) -> DataFrame:
+    """Rows of df whose columns are among those of wanted, and a few more.
+
+    The filter is a bit set, packed on the executors into one row, which is
+    all that is broadcast: 2 to 4 bytes a key, where a hash table takes 100.
+    """
+    keys = wanted.count()
+    if keys * 4 > MAX_BITS:
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
+        return df.join(wanted.select(*(F.col(c).alias(f"__{c}") for c in columns)), same, "left_semi")
+    bits = min(max(1 << (KEY_BITS * keys).bit_length(), 1 << 12), MAX_BITS)
+    place = F.expr(f"pmod(xxhash64({', '.join(columns)}), {bits}L)")
+    longs = wanted.select(place.alias("b")).groupBy(F.expr("b div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("x"))
+    longs = df.sparkSession.range(bits // 64).select(F.col("id").alias("at")).join(longs, "at", "left").select("at", F.coalesce("x", F.lit(0)).alias("x"))
+    parts = longs.groupBy(F.expr("at div 1024").alias("part")).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("xs"))
+    row = materialise(parts.agg(F.expr("flatten(transform(sort_array(collect_list(struct(part, xs.x as xs))), p -> p.xs))").alias("__bits")))
+    there = "(shiftrightunsigned(__bits[cast(__b div 64 as int)], cast(__b % 64 as int)) & 1L) = 1L"
+    return df.withColumn("__b", place).join(F.broadcast(row), F.expr(there)).select(*df.columns)
+
+
 _RATIO = f"least(n_a, n_b) * {DENOMINATOR} >= greatest(n_a, n_b) * {NUMERATOR}"
 
 
@@ -226,10 +252,9 @@ def _rows(docs: DataFrame) -> DataFrame:
     classes = materialise(own.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "row")).alias("f"), F.min("n").alias("n"), F.first("sketch").alias("sketch")).select("cls", "n", "sketch", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("th"), F.col("f.row").alias("row")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        places = materialise(wanted.join(classes.select("cls", "first_id", "th"), "cls").select("cls", F.col("first_id").alias("__id"), F.col("th").alias("__th")))
-        places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-        texts = rows.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("cls", "text")
-        return materialise(texts.mapInArrow(lean(_sets), "cls binary, s array<bigint>").dropDuplicates(["cls"]))
+        places = materialise(wanted.join(classes, "cls").select("cls", F.col("first_id").alias("doc_id"), "th"))
+        found = _likely(rows, ["doc_id", "th"], places).select("text").mapInArrow(lean(_sets), "cls binary, s array<bigint>")
+        return materialise(found.dropDuplicates(["cls"]).join(places, "cls", "left_semi"))
 
     lists = materialise(_lists(classes))
     tried = materialise(_plausible(_pivoted(lists), classes))
