@@ -455,6 +455,14 @@ def test_near_duplicates_broadcast_one_row(spark, monkeypatch, bits):
     assert sum(r.kept for r in found) == 40 and all(n == 1 for n in sent)
 
 
+def test_pivots_pair_where_sizes_allow(spark):
+    """A list's members whose sizes rule a link out are dropped before their sketches are fetched, and lists name classes by numbers."""
+    classes = spark.createDataFrame([(1, 60, [5, 6]), (2, 61, [5, 6]), (3, 900, [5, 6])], "cls long, n long, sketch array<bigint>")
+    lists = spark.createDataFrame([(v, c, n) for v in (5, 6) for c, n in ((1, 60), (2, 61), (3, 900))], "v long, cls long, n long")
+    assert {(r.a, r.b) for r in near_dup._pivoted(lists).collect()} <= {(1, 2)}
+    assert {r.cls for r in near_dup._likely(classes, ["cls"], classes.where("cls < 3")).collect()} >= {1, 2}
+
+
 # ---- 1 and 3
 
 

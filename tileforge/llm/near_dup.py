@@ -4,7 +4,8 @@ Texts are linked when their sets of 5-word shingles have a Jaccard similarity
 of 0.75 or more; linked texts form components, of which one document stays.
 
 1. Each text is hashed once: its set of shingle hashes, of which the `K` least
-   are the sketch. Texts with equal sets form a class, which goes on as one.
+   are the sketch. Texts with equal sets form a class, which goes on as one
+   under the row number of its first text.
 2. Inverted lists hold the classes that retain a value. Two linked classes
    share at least c of their retained values: exactly 3/4 of a set of up to
    48, else 29 of 64, which a linked pair misses with a chance of 1e-7. So
@@ -111,21 +112,22 @@ def _sketches(batches):
             sizes.append(len(s))
             keys.append(_digest(s))
             sketches.append(s[:K])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "th", "n", "cls", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "th", "n", "key", "sketch"])
 
 
 def _sets(batches):
     shingles = _Shingler()
     for batch in (part for whole in batches for part in slices(whole, STEP_BYTES)):
         sets = [shingles(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
 
 
 def _lists(classes: DataFrame, k: int = K, least_shared: int = LEAST_SHARED) -> DataFrame:
     """v, cls, n: the inverted lists of values that two classes retain (k at most), without the c - 1 commonest of each class."""
-    values = classes.select("cls", "n", F.explode("sketch").alias("v"))
+    values = classes.select("cls", F.explode("sketch").alias("v"))
     shared = materialise(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
-    by_class = values.join(shared, "v").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("x"))
+    by_class = values.join(shared, "v").repartition("cls").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("x"))  # else each row is shuffled as a list of one
+    by_class = by_class.join(classes.select("cls", "n"), "cls")
     least = f"if(n <= {k * NUMERATOR // DENOMINATOR}, (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR}, {least_shared})"
     kept = by_class.withColumn("keep", F.expr(f"cast(size(x) - {least} + 1 as int)")).where("keep > 0")
     return kept.select("cls", "n", F.explode(F.expr("slice(x, 1, keep)")).alias("y")).select(F.col("y.v").alias("v"), "cls", "n")
@@ -163,10 +165,19 @@ def _plausible(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
     return both.where(f"{share} >= {NUMERATOR / DENOMINATOR} - {DEVIATIONS} * 0.4331 / sqrt(size(u))").select("a", "b")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs that are linked, by their full sets."""
-    side = lambda x: sets.select(F.col("cls").alias(x), F.col("s").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
+def _links(pairs: DataFrame, sets: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Those pairs that are linked, by their full sets (cls, s), or (key, s) where members (cls, key) are given.
+
+    By keys, sets that were made distinct by them aren't shuffled once more.
+    """
+    key = "key" if members else "cls"
+    if members:
+        for x in "ab":
+            pairs = pairs.join(members.select(F.col("cls").alias(x), F.col("key").alias(f"key_{x}")), x)
+    else:
+        pairs = pairs.withColumns({"key_a": F.col("a"), "key_b": F.col("b")})
+    side = lambda x: sets.select(F.col(key).alias(f"key_{x}"), F.col("s").alias(f"s_{x}"))
+    both = pairs.join(side("a"), "key_a").join(side("b"), "key_b").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
     return both.where(f"i * {DENOMINATOR} >= (size(s_a) + size(s_b) - i) * {NUMERATOR}").select("a", "b")
 
 
@@ -199,7 +210,7 @@ def _block_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Links between components within one pair of blocks of a long list; one for each two components."""
     value, left_block, right_block = key
     left, right = rows[rows["block"] == left_block], rows[rows["block"] == right_block]
-    out: list[tuple[bytes, bytes]] = []
+    out: list[tuple[int, int]] = []
     if len(left) and len(right):
         sets = [*left["s"], *right["s"]]
         sizes = np.array([len(x) for x in sets])
@@ -248,30 +259,36 @@ def without_copies(docs: DataFrame) -> DataFrame:
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, th, n_shingles, component_id, kept: one row of each component is kept, and all rows without shingles."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    own = materialise(rows.mapInArrow(lean(_sketches), "doc_id long, th long, n long, cls binary, sketch array<bigint>").withColumn("row", F.monotonically_increasing_id()))
-    classes = materialise(own.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "row")).alias("f"), F.min("n").alias("n"), F.first("sketch").alias("sketch")).select("cls", "n", "sketch", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("th"), F.col("f.row").alias("row")))
+    own = materialise(rows.mapInArrow(lean(_sketches), "doc_id long, th long, n long, key binary, sketch array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+    classes = materialise(own.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "row")).alias("f"), F.min("n").alias("n"), F.first("sketch").alias("sketch")).select(F.col("f.row").alias("cls"), "n", "sketch", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("th"), "key"))
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        """key, s of the members (cls, key, doc_id, th), some of them more than once, and of a few other texts."""
+        return materialise(_likely(rows, ["doc_id", "th"], members).select("text").mapInArrow(lean(_sets), "key binary, s array<bigint>"))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        places = materialise(wanted.join(classes, "cls").select("cls", F.col("first_id").alias("doc_id"), "th"))
-        found = _likely(rows, ["doc_id", "th"], places).select("text").mapInArrow(lean(_sets), "cls binary, s array<bigint>")
-        return materialise(found.dropDuplicates(["cls"]).join(places, "cls", "left_semi"))
+    def members_of(wanted: DataFrame) -> DataFrame:
+        return materialise(wanted.join(classes, "cls").select("cls", "key", F.col("first_id").alias("doc_id"), "th"))
 
     lists = materialise(_lists(classes))
-    tried = materialise(_plausible(_pivoted(lists), classes))
-    links = materialise(_links(tried, sets_of(_members(tried))))
+    pairs = materialise(_pivoted(lists))
+    tried = materialise(_plausible(pairs, _likely(classes, ["cls"], _members(pairs))))
+    members = members_of(_members(tried))
+    links = materialise(_links(tried, sets_of(members).dropDuplicates(["key"]), members))
     short, long = _open(lists, links)
-    missed = materialise(_plausible(_pairs(short).join(tried, ["a", "b"], "left_anti"), classes))
-    sets = sets_of(_members(missed).union(long.select("cls")).distinct())
+    pairs = materialise(_pairs(short).join(tried, ["a", "b"], "left_anti"))
+    missed = materialise(_plausible(pairs, _likely(classes, ["cls"], _members(pairs))))
+    members = members_of(_members(missed).union(long.select("cls")).distinct())
+    sets = materialise(sets_of(members).dropDuplicates(["key"]).join(members, "key").select("cls", "s"))
     links = materialise(links.union(_links(missed, sets)))
     if not long.isEmpty():
         links = materialise(links.union(_refined(long, sets, links)))
     found = components(links)
 
-    least_id = classes.select("cls", "first_id", "th", "row").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least_id = classes.select("cls", "first_id", "th", "key").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least_id = materialise(least_id)
-    names = materialise(least_id.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "th", "row")).alias("f")).select("component", F.col("f.first_id").alias("component_id"), F.col("f.row").alias("first")))
-    named = materialise(least_id.join(names, "component").select("cls", "component_id", "first"))
-    out = own.select("doc_id", "th", "row", "n", "cls").join(named, "cls", "left")
+    names = materialise(least_id.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "th", "cls")).alias("f")).select("component", F.col("f.first_id").alias("component_id"), F.col("f.cls").alias("first")))
+    named = materialise(least_id.join(names, "component").select("key", "component_id", "first"))
+    out = own.select("doc_id", "th", "row", "n", "key").join(named, "key", "left")
     name = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("kept"))
 
@@ -281,9 +298,11 @@ def _members(pairs: DataFrame) -> DataFrame:
 
 
 def _pivoted(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each list's members with a random one of them."""
-    pivots = materialise(lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("cls", "v"), "cls")).alias("p"), F.count("*").alias("c")).where("c > 1").select("v", F.col("p.cls").alias("pivot")))
-    return lists.join(pivots, "v").where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    """Pairs (a, b) of each list's members with a random one of them, where sizes allow a link."""
+    least = lambda c: F.min_by(c, F.xxhash64("cls", "v"))
+    pivots = materialise(lists.groupBy("v").agg(least("cls").alias("pivot"), least("n").alias("n_b"), F.count("*").alias("c")).where("c > 1").select("v", "pivot", "n_b"))
+    near = lists.withColumnRenamed("n", "n_a").join(pivots, "v").where("cls <> pivot").where(_RATIO)
+    return near.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
 
 
 def _open(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -311,7 +330,7 @@ def _refined(long: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     missed = _plausible(_pairs(short).join(tried, ["a", "b"], "left_anti"), classes, REFINED)
     blocks = rest.withColumn("blocks", F.expr(f"cast(ceil(greatest(c / {BLOCK}, total / {BLOCK_SHINGLES})) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
     dealt = blocks.select("v", "cls", "comp", "block", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as x, greatest(o, block) as y))")).alias("p")).select("v", "p.x", "p.y", "block", "cls", "comp")
-    in_blocks = dealt.join(sets, "cls").groupBy("v", "x", "y").applyInPandas(_block_links, "a binary, b binary")
+    in_blocks = dealt.join(sets, "cls").groupBy("v", "x", "y").applyInPandas(_block_links, "a long, b long")
     return found.union(_links(missed, sets)).union(in_blocks)
 
 
