@@ -62,8 +62,8 @@ BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 200_000, 4096
 MEMO_WORDS = 150_000
 #: Bytes of text hashed at a time.
 STEP_BYTES = 2 << 20
-#: Bits for each key of a filter, and the most in all (8 MB); a filter of more than a quarter as many keys isn't made.
-KEY_BITS, MAX_BITS = 16, 1 << 26
+#: Bits for each key of a filter, those set for it, and the most in all (8 MB); a filter of more than a quarter as many keys isn't made.
+KEY_BITS, KEY_PLACES, MAX_BITS = 16, 3, 1 << 26
 
 
 class _Shingler:
@@ -144,13 +144,13 @@ def _likely(df: DataFrame, columns: list[str], wanted: DataFrame) -> DataFrame:
         same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
         return df.join(wanted.select(*(F.col(c).alias(f"__{c}") for c in columns)), same, "left_semi")
     bits = min(max(1 << (KEY_BITS * keys).bit_length(), 1 << 12), MAX_BITS)
-    place = F.expr(f"pmod(xxhash64({', '.join(columns)}), {bits}L)")
-    longs = wanted.select(place.alias("b")).groupBy(F.expr("b div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("x"))
+    places = [F.expr(f"pmod(xxhash64({', '.join(columns)}, {k}), {bits}L)") for k in range(KEY_PLACES)]
+    longs = wanted.select(F.explode(F.array(*places)).alias("b")).groupBy(F.expr("b div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("x"))
     longs = df.sparkSession.range(bits // 64).select(F.col("id").alias("at")).join(longs, "at", "left").select("at", F.coalesce("x", F.lit(0)).alias("x"))
     parts = longs.groupBy(F.expr("at div 1024").alias("part")).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("xs"))
     row = materialise(parts.agg(F.expr("flatten(transform(sort_array(collect_list(struct(part, xs.x as xs))), p -> p.xs))").alias("__bits")))
-    there = "(shiftrightunsigned(__bits[cast(__b div 64 as int)], cast(__b % 64 as int)) & 1L) = 1L"
-    return df.withColumn("__b", place).join(F.broadcast(row), F.expr(there)).select(*df.columns)
+    there = " and ".join(f"(shiftrightunsigned(__bits[cast(__b{k} div 64 as int)], cast(__b{k} % 64 as int)) & 1L) = 1L" for k in range(KEY_PLACES))
+    return df.withColumns({f"__b{k}": place for k, place in enumerate(places)}).join(F.broadcast(row), F.expr(there)).select(*df.columns)
 
 
 _RATIO = f"least(n_a, n_b) * {DENOMINATOR} >= greatest(n_a, n_b) * {NUMERATOR}"
