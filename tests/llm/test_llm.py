@@ -463,6 +463,28 @@ def test_pivots_pair_where_sizes_allow(spark):
     assert {r.cls for r in near_dup._likely(classes, ["cls"], classes.where("cls < 3")).collect()} >= {1, 2}
 
 
+def test_a_group_verifies_about_one_pair_for_each_member(spark, monkeypatch):
+    """Full sets are sent for pairs that join something, not for all pairs of members with pivots."""
+    sent = []
+    links = near_dup._links
+    monkeypatch.setattr(near_dup, "_links", lambda pairs, *others: sent.append(pairs.count()) or links(pairs, *others))
+    base = words(200, 5, 5000)
+    rows = [(k, f"{base} own{k} other{k}") for k in range(40)]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.component_id for r in found} == {0} and sum(sent) <= 2 * len(rows)
+
+
+def test_short_hashes_drop_no_link(spark):
+    """Pairs that 16 bits of each shingle rule out aren't linked; sets with equal bits stay to be verified."""
+    sets = {1: [k << 16 for k in range(100)], 2: [k << 16 for k in range(10, 110)], 3: list(range(-400, 0)), 4: list(range(-440, -40)), 5: list(range(-700, -300))}
+    given = spark.createDataFrame([(k, s) for k, s in sets.items()], "key long, s array<bigint>")
+    members = spark.createDataFrame([(k, k) for k in sets], "cls long, key long")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    linked = {(a, b) for a in sets for b in sets if a < b and 4 * len({*sets[a]} & {*sets[b]}) >= 3 * len({*sets[a]} | {*sets[b]})}
+    left = {(r.a, r.b) for r in near_dup._possible(pairs, given, members).collect()}
+    assert {(1, 2)} <= linked <= left and (3, 5) not in left and (4, 5) not in left
+
+
 # ---- 1 and 3
 
 

@@ -56,6 +56,8 @@ LEAST_SHARED = 29
 REFINED, LEAST_REFINED = 512, 325
 #: At 64 values six deviations keep pairs that share 28, one less than the lists ask for.
 DEVIATIONS = 6
+#: Of the union sketch, what a pair shares that is verified first, so that most of them are linked.
+LIKELY_SHARE = 0.8
 LONG_LIST = 64
 #: A block's members and shingles, and the columns of a product.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 200_000, 4096
@@ -126,7 +128,8 @@ def _lists(classes: DataFrame, k: int = K, least_shared: int = LEAST_SHARED) ->
     """v, cls, n: the inverted lists of values that two classes retain (k at most), without the c - 1 commonest of each class."""
     values = classes.select("cls", F.explode("sketch").alias("v"))
     shared = materialise(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
-    by_class = values.join(shared, "v").repartition("cls").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("x"))  # else each row is shuffled as a list of one
+    some = values if shared.count() * 4 > MAX_BITS else _likely(values, ["v"], shared)  # most values are no other class's
+    by_class = some.join(shared, "v").repartition("cls").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("x"))  # else each row is shuffled as a list of one
     by_class = by_class.join(classes.select("cls", "n"), "cls")
     least = f"if(n <= {k * NUMERATOR // DENOMINATOR}, (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR}, {least_shared})"
     kept = by_class.withColumn("keep", F.expr(f"cast(size(x) - {least} + 1 as int)")).where("keep > 0")
@@ -157,12 +160,12 @@ _RATIO = f"least(n_a, n_b) * {DENOMINATOR} >= greatest(n_a, n_b) * {NUMERATOR}"
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
-    """Pairs (a, b) whose sizes and union sketch allow a link."""
+    """Pairs (a, b) whose sizes and union sketch allow a link, and the share of the sketch that is common."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(_RATIO)
     both = both.withColumn("u", F.expr(f"slice(array_sort(array_union(s_a, s_b)), 1, {k})"))
     share = "size(array_intersect(u, array_intersect(s_a, s_b))) / size(u)"
-    return both.where(f"{share} >= {NUMERATOR / DENOMINATOR} - {DEVIATIONS} * 0.4331 / sqrt(size(u))").select("a", "b")
+    return both.where(f"{share} >= {NUMERATOR / DENOMINATOR} - {DEVIATIONS} * 0.4331 / sqrt(size(u))").select("a", "b", F.expr(share).alias("share"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -172,6 +175,7 @@ def _links(pairs: DataFrame, sets: DataFrame, members: DataFrame | None = None)
     """
     key = "key" if members else "cls"
     if members:
+        sets = sets.dropDuplicates(["key"])
         for x in "ab":
             pairs = pairs.join(members.select(F.col("cls").alias(x), F.col("key").alias(f"key_{x}")), x)
     else:
@@ -181,6 +185,45 @@ def _links(pairs: DataFrame, sets: DataFrame, members: DataFrame | None = None)
     return both.where(f"i * {DENOMINATOR} >= (size(s_a) + size(s_b) - i) * {NUMERATOR}").select("a", "b")
 
 
+def _spanned(pairs: DataFrame, sets: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Links among the pairs (a, b, share) that connect all that their links connect.
+
+    One pair of each class is verified first, if it can one that is surely
+    linked, and with the same few classes; of the others only those whose ends
+    these don't connect, and whose words allow it. So a group costs some one
+    set for each member, where all pairs with its pivots cost one for each pair.
+    """
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "share").union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "share"))
+    hubs = both.groupBy("x").agg(F.min_by("y", F.struct(F.col("share") < LIKELY_SHARE, F.xxhash64("y"))).alias("y"))
+    first = materialise(hubs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    links = materialise(_links(first, sets, members))
+    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+    found = components(links, complete=False)
+    for x in "ab":
+        rest = rest.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
+    rest = materialise(rest.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b"))
+    members = materialise((members if members else sets.withColumn("key", F.col("cls"))).join(_members(rest), "cls", "left_semi").select("cls", "key"))
+    if "key" not in sets.columns:
+        sets = sets.withColumnRenamed("cls", "key")
+    rest = materialise(_possible(rest, _likely(sets, ["key"], members), members))
+    members = members.join(_members(rest), "cls", "left_semi")
+    return links.union(_links(rest, _likely(sets, ["key"], materialise(members)), members))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs that may be linked by 16 bits of each shingle, a quarter of what their sets take; no link goes.
+
+    A common shingle has common bits, and is the only one with them but for
+    those that a set has twice; so the bits that two sets share and the fewer
+    of their repeats bound the intersection.
+    """
+    bits = "array_distinct(transform(s, x -> cast((x & 65535) - 32768 as smallint)))"
+    short = materialise(sets.selectExpr("key", f"{bits} as w", "size(s) as n").dropDuplicates(["key"]).join(members, "key").select("cls", "n", "w"))
+    side = lambda x: short.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("w").alias(f"w_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.expr("size(array_intersect(w_a, w_b)) + least(n_a - size(w_a), n_b - size(w_b))"))
+    return both.where(f"i * {DENOMINATOR} >= (n_a + n_b - i) * {NUMERATOR}").select("a", "b")
+
+
 def components(edges: DataFrame, complete: bool = True) -> DataFrame:
     """node, component (its least node) for all nodes of the edges (a, b).
 
@@ -273,7 +316,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     pairs = materialise(_pivoted(lists))
     tried = materialise(_plausible(pairs, _likely(classes, ["cls"], _members(pairs))))
     members = members_of(_members(tried))
-    links = materialise(_links(tried, sets_of(members).dropDuplicates(["key"]), members))
+    links = materialise(_spanned(tried, sets_of(members), members))
     short, long = _open(lists, links)
     pairs = materialise(_pairs(short).join(tried, ["a", "b"], "left_anti"))
     missed = materialise(_plausible(pairs, _likely(classes, ["cls"], _members(pairs))))
@@ -305,9 +348,9 @@ def _pivoted(lists: DataFrame) -> DataFrame:
     return near.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
 
 
-def _open(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _open(lists: DataFrame, links: DataFrame, complete: bool = False) -> tuple[DataFrame, DataFrame]:
     """v, cls, n, comp, c and total (of shingles) of the lists with members in different components: short and long ones."""
-    found = components(links, complete=False)  # the least node has none of its own, so it stands for itself
+    found = components(links, complete)  # unless complete, the least node has none of its own, so it stands for itself
     placed = materialise(lists.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").select("v", "cls", "n", F.coalesce("component", "cls").alias("comp")))
     mixed = materialise(placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("total")).where("lo < hi").select("v", "c", "total"))
     both = materialise(placed.join(mixed, "v"))
@@ -324,10 +367,11 @@ def _refined(long: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """The links between members of long lists that join components, up to what other links give."""
     classes = materialise(long.select("cls", "n").distinct().join(sets, "cls").select("cls", "n", F.slice("s", 1, REFINED).alias("sketch")))
     lists = materialise(_lists(classes, REFINED, LEAST_REFINED))
-    tried = materialise(_plausible(_pivoted(lists), classes, REFINED))
-    found = materialise(_links(tried, sets))
-    short, rest = _open(lists, links.union(found))
-    missed = _plausible(_pairs(short).join(tried, ["a", "b"], "left_anti"), classes, REFINED)
+    sketches = classes.withColumn("sketch", F.slice("sketch", 1, K))  # most sets have no more than REFINED shingles, so that a longer sketch costs what its set does
+    tried = materialise(_plausible(_pivoted(lists), sketches))
+    found = materialise(_spanned(tried, sets))
+    short, rest = _open(lists, links.union(found), complete=True)
+    missed = _plausible(_pairs(short).join(tried, ["a", "b"], "left_anti"), sketches)
     blocks = rest.withColumn("blocks", F.expr(f"cast(ceil(greatest(c / {BLOCK}, total / {BLOCK_SHINGLES})) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
     dealt = blocks.select("v", "cls", "comp", "block", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as x, greatest(o, block) as y))")).alias("p")).select("v", "p.x", "p.y", "block", "cls", "comp")
     in_blocks = dealt.join(sets, "cls").groupBy("v", "x", "y").applyInPandas(_block_links, "a long, b long")
